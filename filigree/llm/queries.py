@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name -> module of this package that holds query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL
 NAMES = {
+    "op9_vantage_point_search": "vptree_ann",
     "op8_hmm_language_model": "hmm_lm",
     "op10_token_output": "token_output",
     "op6_minhash_near_dedup": "minhash_dedup",
