@@ -7,11 +7,12 @@ block. Factors of `block` words or more are duplicate spans, shorter matches hav
 removed if and only if some block over it also starts in a document with a smaller doc_id.
 
 How it scales. Indexing every block of every document would shuffle a row for each word. Instead a document first shows
-its anchors: of each run of block - gram + 1 consecutive `gram`-word hashes the smallest, so that any block holds at
-least one anchor, the same wherever the block stands. Only blocks over an anchor that two documents share go on; one
+its anchors: of each run of block - gram + 1 consecutive `gram`-word hashes the smallest, so that any block has an
+anchor of its own, the same wherever the block stands. Only blocks whose anchor two documents share go on; one
 row for about 18 words in the first shuffle, and for each repeated word in the second. The minimum over a block is a
 map-side combined aggregate, and both joins are plain shuffle joins that adaptive execution may split, so a passage that
-stands in a third of all documents meets in no single task. Texts are shuffled once, by document.
+stands in a third of all documents meets in no single task. A text that an earlier
+document has whole is one factor at once. Texts are shuffled once, by document.
 
 Blocks are compared by 64-bit hashes of their word sequences.
 
@@ -71,10 +72,11 @@ def _blocks(block: int, gram: int):
                     continue
                 part = shared.slice(i, j - i)
                 anchor = np.asarray(part.flatten(), np.int64) + np.repeat(words.first[:-1], np.asarray(part.value_lengths(), np.int64))
-                over = np.zeros(len(words.hash) + 1, np.int32)
-                np.add.at(over, np.maximum(anchor + gram - block, 0), 1)  # the blocks over it start here ...
-                np.add.at(over, anchor + 1, -1)  # ... to the anchor itself
-                k = np.flatnonzero(np.cumsum(over)[at] > 0)
+                g, g_at = grams(words.hash, words.first, gram)
+                place = np.zeros(len(words.hash), np.int64)
+                place[g_at] = np.arange(len(g_at))
+                low = window_min(g, block - gram + 1)[place[at]]  # each block's own anchor
+                k = np.flatnonzero(np.isin(low, g[place[anchor]]))
                 doc = words.owners()[at[k]]
                 rows = pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays(
@@ -90,14 +92,16 @@ def _cut(block: int):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, starts = batch.column("text").cast(pa.binary()), batch.column("starts")
+            texts, starts, copies = batch.column("text").cast(pa.binary()), batch.column("starts"), batch.column("copy")
             for k in range(0, batch.num_rows, 256):
                 n_words, spans, kept = [], [], []
-                for text, at in zip(texts.slice(k, 256).to_pylist(), starts.slice(k, 256)):
+                for text, at, copy in zip(texts.slice(k, 256).to_pylist(), starts.slice(k, 256), copies.slice(k, 256).to_pylist()):
                     words = (text or b"").split()
                     n_words.append(len(words))
                     factors = []
-                    if at.is_valid and len(at.values):
+                    if copy and len(words) >= block:
+                        factors, words = [(0, len(words))], []
+                    elif at.is_valid and len(at.values):
                         a = np.unique(at.values.to_numpy(zero_copy_only=False))
                         gap = np.flatnonzero(np.diff(a) > block)
                         factors = [(int(x), int(y)) for x, y in zip(a[np.r_[0, gap + 1]], a[np.r_[gap, len(a) - 1]] + block)]
@@ -117,7 +121,12 @@ def substring_dedup(docs: DataFrame, block: int = BLOCK, gram: int = GRAM) -> Da
     """One row per document: doc_id, n_words, spans (word positions [start, end) of duplicate factors, in order), kept
     (the other words, joined by one space)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = docs.where("doc_id is not null").withColumn("key", F.xxhash64("text")).repartition("doc_id", "key")
+    keyed = docs.where("doc_id is not null").withColumn("key", F.xxhash64("text"))
+    # a text that an earlier document has whole has nothing of its own: it takes part in no parse
+    texts = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    copies = keyed.select("doc_id", "key").join(texts.select("key", "a"), "key").where("doc_id > a").select("doc_id", "key", F.lit(True).alias("copy")).distinct()
+    every = keyed.repartition("doc_id", "key").join(copies, ["doc_id", "key"], "left")
+    rows = every.where("copy is null").drop("copy")
     at = "doc_id long, key long, pos int, h long"
     anchors = rows.mapInArrow(_anchors(block, gram), at)
     shared = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
@@ -125,9 +134,9 @@ def substring_dedup(docs: DataFrame, block: int = BLOCK, gram: int = GRAM) -> Da
     blocks = rows.join(positions, ["doc_id", "key"]).mapInArrow(_blocks(block, gram), at)
     first = blocks.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h", "a")
     repeated = blocks.join(first, "h").where("doc_id > a").groupBy("doc_id", "key").agg(F.collect_set("pos").alias("starts"))
-    whole = rows.join(repeated, ["doc_id", "key"], "left").drop("key")
+    whole = every.join(repeated, ["doc_id", "key"], "left").drop("key")
     # a null id is earlier than none and later than none
-    rest = docs.where("doc_id is null").withColumn("starts", F.lit(None).cast("array<int>"))
+    rest = docs.where("doc_id is null").withColumn("copy", F.lit(None).cast("boolean")).withColumn("starts", F.lit(None).cast("array<int>"))
     return whole.unionByName(rest).mapInArrow(_cut(block), "doc_id long, n_words long, spans array<struct<start:int,end:int>>, kept string")
 
 
