@@ -13,6 +13,7 @@ NAMES = {
     "op8_hmm_language_model": "hmm_lm",
     "op10_token_output": "token_output",
     "op6_minhash_near_dedup": "minhash_dedup",
+    "op1_toxicity_grammar": "toxicity",
     "op3_main_text": "html_extract",
     "op4_substring_dedup": "substring_dedup",
 }
