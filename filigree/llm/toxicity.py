@@ -14,8 +14,8 @@ scored in one table step a word; scores are of matched clauses, not of words. A
 logarithm of its clauses' sum.
 
 Lexicon. A fixed list of plain insults, and what labelled texts teach: words, and stems (prefixes of 4 to 8 bytes, for
-languages that inflect), whose share of toxic texts is larger than that of others beyond doubt (the lower bound of the log
-odds ratio). At most FIT_ROWS labelled texts, drawn by hash of doc_id, are used for it and for the logistic; every text is
+languages that inflect), whose share of toxic texts is larger than that of others beyond doubt (by the lower bound of the log
+odds ratio; the ratio itself is the weight). At most FIT_ROWS labelled texts, drawn by hash of doc_id, are used for it and for the logistic; every text is
 scored. Only the text is ever an input of a score.
 
 Defined cases: a null or empty text has no clause and gets the score of such; labels that are null count as none; a doc_id
@@ -140,7 +140,7 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]+|[\"“”«»„]
 class Grammar:
     """words and stems with their weights; the logistic is 1 / (1 + exp(-(bias + slope * log(1 + sum))))."""
 
-    words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS, 3.0))
+    words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS, 5.0))
     stems: dict[bytes, float] = field(default_factory=dict)
     bias: float = -3.0
     slope: float = 3.0
@@ -164,7 +164,7 @@ class Grammar:
             else:
                 weight = self.weigh(word)
                 kind = INSULT if weight else FIXED.get(word, OTHER)
-                weight = weight or 2.0 * (kind == THREAT)
+                weight = weight or 3.0 * (kind == THREAT)
             factor, more = GIVES[state][kind]
             total += weight * factor + more * (2.0 if more else 0.0)
             state = NEXT[state][kind]
@@ -216,14 +216,19 @@ def lexicon(rows: list[tuple[bytes, int, int]], toxic: int, clean: int) -> Gramm
     """Of (feature, toxic texts with it, clean texts with it) what counts as insult: a stem rather than its words where it is as sure."""
     g = Grammar()
 
-    def odds(a: int, b: int) -> float:
-        return float(np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1)) - 1.64 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
-
-    sure = {bytes(f): (odds(a, b), a) for f, a, b in rows}
-    sure = {f: x for f, x in sure.items() if x[0] >= LEAST_ODDS}
-    for f, (weight, _) in sorted(sure.items(), key=lambda x: (len(x[0]), x[0])):
+    sure: dict[bytes, tuple[float, int]] = {}
+    for f, a, b in rows:
+        odds = float(np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1)))
+        if odds - 1.64 * (1 / (a + 0.5) + 1 / (b + 0.5)) ** 0.5 >= LEAST_ODDS:
+            sure[bytes(f)] = odds, a
+    most = Counter()  # of each stem: the texts of its most frequent word
+    for f, (_, a) in sure.items():
+        for n in STEMS if f[:1] == b"w" else ():
+            most[f[1 : n + 1]] = max(most[f[1 : n + 1]], a)
+    for f, (weight, a) in sorted(sure.items(), key=lambda x: (len(x[0]), x[0])):
         if f[:1] == b"s":
-            if not any(f[1 : n + 1] in g.stems for n in STEMS if n < len(f) - 1):
+            # a stem that is mostly one word says no more than the word
+            if most[f[1:]] < 0.6 * a and not any(f[1 : n + 1] in g.stems for n in STEMS if n < len(f) - 1):
                 g.stems[f[1:]] = weight
         else:
             g.words[f[1:].decode("utf-8", "ignore")] = max(weight, g.words.get(f[1:].decode("utf-8", "ignore"), 0.0))
