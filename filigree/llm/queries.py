@@ -14,6 +14,7 @@ NAMES = {
     "op10_token_output": "token_output",
     "op6_minhash_near_dedup": "minhash_dedup",
     "op1_toxicity_grammar": "toxicity",
+    "op5_template_decontamination": "decontaminate",
     "op3_main_text": "html_extract",
     "op4_substring_dedup": "substring_dedup",
 }
