@@ -10,7 +10,13 @@
 4. Pairs whose sizes allow the threshold and whose sketches do not speak against it by five standard deviations are
    confirmed on full sets; confirmed ones make components.
 5. What a pivot could hide is then made good exactly: of each bucket that still holds several components, the members
-   outside its largest one are paired with every member of another component, screened and confirmed alike. Links inside a component cannot change it, so no link that matters is lost.
+   outside its largest one are paired with every member of another component, screened and confirmed alike. Links inside
+   a component cannot change it, so no link that matters is lost. What keeps these pairs few are exact bounds
+   over the shingles of such documents. Let a shingle be rare if at most RARE documents have it, of those that bucket pivots
+   connect with this one. Partners share a shingle that comes early, in the order of (documents, hash), in both sets: within
+   the first n - 0.8 n + 1. If the first one that they share is rare, a join on rare early shingles meets them, with at
+   most RARE partners for a shingle; if not, no more than their shingles that are not rare are common, and of the pairs of a
+   bucket only those that can reach the threshold with these are looked at.
 
 A pair at the threshold misses all bands with probability (1 - 0.8^6)^32 < 0.0001, at 0.9 < 1e-10.
 
@@ -18,8 +24,8 @@ Hot groups: exact copies of any number are one row after step 2 (a map-side comb
 most 32 n pairs, most of which the distinct removes.
 
 Defined cases: a null text, or one without words, has the empty set and is linked with nothing; a text with fewer words
-than a shingle has its whole sequence as one; rows that repeat a doc_id come back once each, and are linked to one
-another only if their sets are; rows with a null doc_id come back unlinked, with component null; other columns are
+than a shingle has its whole sequence as one; rows that repeat a doc_id come back once each, as one document (if their
+texts differ, one of them speaks for it in step 5); rows with a null doc_id come back unlinked, with component null; other columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -39,6 +45,7 @@ from .words import U, Words, grams, mix, powers, signed, slices, stream
 BANDS, ROWS = 32, 6
 SKETCH_BYTES = 64
 PERCENT = 80
+RARE = 64
 
 
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +117,17 @@ def _sets(n: int):
     return of
 
 
+def _members(n: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, buf, bounds in slices(batch.column("text")):
+                h, edge = shingle_sets(Words(buf, bounds, lower=True), n)
+                rows = pa.array(np.repeat(np.arange(i, j), np.diff(edge)))
+                yield pa.RecordBatch.from_arrays([batch.column("coarse").take(rows), batch.column("doc_id").take(rows), signed(h)], ["coarse", "id", "h"])
+
+    return of
+
+
 def _confirm(percent: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +173,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        members = materialise(docs.join(ids, "doc_id").mapInArrow(_sets(shingle), "id long, members binary"), "sets")
+        members = materialise(docs.join(ids, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "id long, members binary"), "sets")
         x, y = members.toDF("a", "x"), members.toDF("b", "y")
         return pairs.join(x, "a").join(y, "b").mapInArrow(_confirm(percent), "a long, b long")
 
@@ -174,11 +192,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -
     each = named.groupBy("key", "component").agg(F.count("*").alias("c"))
     mixed = each.groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").select("key", F.col("main.component").alias("main"))
     full = materialise(named.join(mixed, "key").join(left.withColumnRenamed("a", "id"), "id"), "mixed")
-    stray = full.where("component <> main").select("key", F.col("id").alias("i"), "n", "s", F.col("component").alias("own"))
-    other = full.select("key", F.col("id").alias("j"), F.col("n").alias("m"), F.col("s").alias("t"), "component", "main")
-    # two strays of a bucket meet twice, so only once here
-    met = stray.join(other, "key").where("own <> component and (component = main or i < j)").where(_possible(percent))
-    fresh = materialise(met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
+    fresh = full.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    if not full.isEmpty():
+        one = full.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "s", "component")), F.max(F.expr("component <> main")).alias("stray"))
+        coarse = components(pairs).select("id", F.col("component").alias("coarse"))
+        of_mixed = docs.join(one.join(coarse, "id").select(F.col("id").alias("doc_id"), "coarse"), "doc_id").dropDuplicates(["doc_id"])
+        each = materialise(of_mixed.mapInArrow(_members(shingle), "coarse long, id long, h long"), "members")
+        rare = materialise(each.join(each.groupBy("coarse", "h").agg(F.count("*").alias("c")).where(f"c <= {RARE}"), ["coarse", "h"]), "rare")
+        held = rare.groupBy("id").agg(F.count("*").alias("e"))
+        one = materialise(one.join(held, "id", "left").withColumn("few", F.col("n") - F.coalesce("e", F.lit(0))).drop("e"), "one")
+        # pairs of a bucket that need no rare shingle; two strays of a bucket meet twice, so only once here
+        members = full.select("key", "id", "main").join(one, "id")
+        stray = members.where("component <> main").select("key", F.col("id").alias("i"), "n", "s", F.col("few").alias("x"), F.col("component").alias("own"))
+        other = members.select("key", F.col("id").alias("j"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("few").alias("y"), "component", "main")
+        reach = f"100 * least(x, y) >= {percent} * (n + m - least(x, y)) and {_possible(percent)}"
+        met = stray.join(other, "key").where("own <> component and (component = main or i < j)").where(reach).select("i", "j")
+        # pairs with a rare shingle early in both
+        early = rare.join(one, "id").withColumn("rank", F.expr("row_number() over (partition by id order by c, h)")).where(f"c > 1 and rank <= n - ceil({percent} * n / 100) + 1")
+        stray = early.where("stray").select("coarse", "h", F.col("id").alias("i"), "n", "s", F.col("component").alias("own"))
+        other = early.select("coarse", "h", F.col("id").alias("j"), F.col("n").alias("m"), F.col("s").alias("t"), "component", F.col("stray").alias("too"))
+        met = met.union(stray.join(other, ["coarse", "h"]).where("own <> component and (not too or i < j)").where(_possible(percent)).select("i", "j"))
+        fresh = materialise(met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
     if not fresh.isEmpty():
         more = materialise(confirmed(fresh), "links")
         links, tested = links.union(more), tested.union(fresh)

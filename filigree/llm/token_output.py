@@ -12,8 +12,8 @@ is a slice at a computed place: batch k // batch, row k % batch, without a copy
 bits where the vocabulary allows it.
 
 Exact encoding at low cost. Byte-level BPE encodes each piece of its pre-tokenisation alone. A text is cut before every
-run of non-space characters with its leading space, and before every run of other white space, which are places where
-that pre-tokenisation always cuts; each different piece goes through the tokenizers library once for a worker (a
+run of non-space characters with its leading space, before every run of other white space, and between a letter and a
+following mark, which are places where that pre-tokenisation always cuts; each different piece goes through the tokenizers library once for a worker (a
 bounded cache), and a text's ids are gathered from the table. Tokenizers of another kind encode whole texts.
 
 Scale and recovery. Texts are range-partitioned by their place, each task writes one file (in row groups; a task holds one
@@ -29,7 +29,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ from .shared import fresh_path, table
 
 SEQUENCE, BATCH, END_ID = 2048, 64, 0
 #: Pieces that a worker remembers, at most.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 
 
 def _file_system(path: str):
@@ -49,13 +49,46 @@ def _file_system(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+class _Numbers(dict):
+    """Numbers pieces as they are first asked for."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
+class _Growing:
+    """An array that is appended to."""
+
+    def __init__(self, dtype) -> None:
+        self.held, self.n = np.zeros(1 << 16, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            self.held = np.resize(self.held, 2 * (self.n + len(values)))
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+# Unicode's White_Space
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# A letter and then one of these marks: the pre-tokenisation always cuts between them, too.
+_LETTER, _MARK = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", "!#$%&*,.:;?"
+
+
 class Encoder:
     """Ids of texts, exactly those of Tokenizer.encode(text, add_special_tokens=False), special strings being plain text."""
 
     def __init__(self, path: str) -> None:
         import json
+        import os
+        import re
 
-        import regex
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,51 +97,71 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.cut = regex.compile(r" ?[^\s]+|\s+(?!\S)|\s").findall
-        self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.dtype = np.uint32 if self.wide else np.uint16
+        self.cut = re.compile(f" ?[^{_SPACE}{_MARK}]+(?<=[{_LETTER}])(?=[{_MARK}])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]").findall
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.uint32 if size > 1 << 16 else np.uint16
+        self.bytes = np.zeros(size, np.int64)  # of each id: a byte-level token has a character for each byte
+        for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.bytes[k] = len(token)
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, self.dtype)
-        self.at = np.zeros(0, np.int64)
+        self.number = _Numbers()
+        self.size, self.at, self.flat = _Growing(np.int64), _Growing(np.int64), _Growing(self.dtype)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def _learn(self, pieces: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        for piece in pieces:
-            self.number[piece] = len(self.number)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.size = np.concatenate([self.size, size])
-        self.at = np.concatenate([[0], np.cumsum(self.size)])
-        self.flat = np.concatenate([self.flat, np.fromiter((x for own in ids for x in own), self.dtype, int(size.sum()))])
+    def _learn(self) -> None:
+        """Encodes the new pieces. Those that begin with a space stay apart in a row of them, so many go as one text, and
+        the tokens' bytes tell whose they are."""
+        new, self.number.new = self.number.new, []
+        size = np.zeros(len(new), np.int64)
+        at = np.zeros(len(new), np.int64)
+        led = np.fromiter((x[0] == " " and len(x) > 1 and not x[1].isspace() for x in new), bool, len(new))
+        k = np.flatnonzero(led)
+        for first in range(0, len(k), 2000):
+            own = k[first : first + 2000]
+            pieces = [new[i] for i in own]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.cumsum(np.fromiter((len(x) if x.isascii() else len(x.encode()) for x in pieces), np.int64, len(pieces)))
+            last = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
+            size[own] = np.diff(last, prepend=0)
+            at[own] = self.flat.n + last - size[own]
+            self.flat.add(ids)
+        k = np.flatnonzero(~led)
+        for i, found in zip(k, self.tokenizer.encode_batch_fast([new[i] for i in k], add_special_tokens=False)):
+            ids = np.array(found.ids, self.dtype)
+            size[i], at[i] = len(ids), self.flat.n
+            self.flat.add(ids)
+        self.size.add(size)
+        self.at.add(at)
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts with the end id after each, and how many each has."""
-        if not self.by_piece:
+        if not self.by_piece or any(s in t for s in self.special for t in texts):
+            if len(texts) > 1 and self.by_piece:
+                parts = [self.encode([t], end) for t in texts]
+                return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
             own = [np.append(self.whole(t), self.dtype(end)) for t in texts]
-            return np.concatenate(own or [self.flat]), np.array([len(x) for x in own], np.int64)
-        cut = [self.whole(t) if any(s in t for s in self.special) else self.cut(t) for t in texts]
+            return np.concatenate(own or [np.zeros(0, self.dtype)]), np.array([len(x) for x in own], np.int64)
         if len(self.number) > CACHE_PIECES:
             self.clear()
-        new = {piece for own in cut if isinstance(own, list) for piece in own}.difference(self.number)
-        if new:
-            self._learn(sorted(new))
-        out, counts = [], []
-        stop = np.array([end], self.dtype)
-        for own in cut:
-            if isinstance(own, list):
-                k = np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))
-                size = self.size[k]
-                total = int(size.sum())
-                first = np.cumsum(size) - size
-                own = self.flat[np.arange(total) + np.repeat(self.at[k] - first, size)]
-            out += [own, stop]
-            counts.append(len(own) + 1)
-        return np.concatenate(out or [self.flat]), np.array(counts, np.int64)
+        cut = [self.cut(t) for t in texts]
+        pieces = np.fromiter(map(len, cut), np.int64, len(cut))
+        k = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(pieces.sum()))
+        if self.number.new:
+            self._learn()
+        # one more "piece" closes each text
+        stop = np.cumsum(pieces + 1) - 1
+        held = np.ones(len(k) + len(cut), bool)
+        held[stop] = False
+        size, at = np.ones(len(held), np.int64), np.zeros(len(held), np.int64)
+        size[held], at[held] = self.size.held[k], self.at.held[k]
+        first = np.cumsum(size) - size
+        out = self.flat.held[np.arange(int(size.sum())) + np.repeat(at - first, size)]
+        out[first[stop]] = end
+        return out, np.diff(first[stop] + 1, prepend=0)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -161,8 +214,8 @@ def _write(folder: str, tokenizer: str, sequence: int, batch: int, end: int):
         name, out = f"{root}/{uuid.uuid4().hex}", None
         low = None
         for rows in batches:
-            for k in range(0, rows.num_rows, 128):
-                part = rows.slice(k, 128)
+            for k in range(0, rows.num_rows, 512):
+                part = rows.slice(k, 512)
                 ids, counts = encode.encode([x or "" for x in part.column("text").to_pylist()], end)
                 if out is None:
                     store.create_dir(root, recursive=True)
