@@ -15,6 +15,8 @@ NAMES = {
     "op6_minhash_near_dedup": "minhash_dedup",
     "op1_toxicity_grammar": "toxicity",
     "op5_template_decontamination": "decontaminate",
+    "op2_pfair_mixing": "mixing",
+    "op7_license_digests": "license_scan",
     "op3_main_text": "html_extract",
     "op4_substring_dedup": "substring_dedup",
 }
