@@ -1 +1,61 @@
+"""Upkeep queries. What is stored: the documents with labels, ready if of quality 1, of the present pipeline if not toxic, with
+the content as it was (source src0 has changed since). `orders` and `lineitem` stand for documents and chunks in the cascade."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import ingest as I
+from .catalogue import query, table
+
+STORED = """stored AS (SELECT doc_id AS key, CASE WHEN source = 'src0' THEN sha256(text || '!') ELSE sha256(text) END AS content_hash, CASE WHEN toxic = 0 THEN 'p2' ELSE 'p1' END AS pipeline_hash,
+CASE WHEN quality = 1 THEN 'ready' ELSE 'failed' END AS status FROM documents JOIN labels USING (doc_id))"""
+
+
+def present(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.sha2("text", 256).alias("content_hash"))
+
+
+def stored(spark, d):
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    old = F.sha2(F.when(F.col("source") == "src0", F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256)
+    return docs.select(F.col("doc_id").alias("key"), old.alias("content_hash"), F.when(F.col("toxic") == 0, "p2").otherwise("p1").alias("pipeline_hash"), F.when(F.col("quality") == 1, "ready").otherwise("failed").alias("status"))
+
+
+@query(
+    "ingest_plan",
+    f"""WITH {STORED}, present AS (SELECT doc_id AS key, sha256(text) AS content_hash FROM documents)
+SELECT coalesce(p.key, s.key) AS key, CASE WHEN p.key IS NULL THEN 'missing' WHEN s.key IS NULL THEN 'new' WHEN p.content_hash = s.content_hash AND pipeline_hash = 'p2' AND status = 'ready' THEN 'skip' ELSE 'rebuild' END AS action
+FROM present p FULL JOIN stored s ON p.key = s.key""",
+)
+def ingest_plan(spark, d):
+    return I.ingest_plan(present(spark, d), stored(spark, d), "p2")
+
+
+@query("prune_missing", "SELECT doc_id AS key FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
+def prune_missing(spark, d):
+    """Documents whose source (a label row) is gone."""
+    return I.prune_missing(present(spark, d).select("key"), table(spark, d, "labels").select(F.col("doc_id").alias("key")))
+
+
+@query("stamp_pipeline", f"WITH {STORED} SELECT key, CASE WHEN status = 'ready' THEN 'p3' ELSE pipeline_hash END AS pipeline_hash FROM stored")
+def stamp_pipeline(spark, d):
+    return I.stamp_pipeline(stored(spark, d), "p3").select("key", "pipeline_hash")
+
+
+@query("stale_documents", f"WITH {STORED} SELECT key, pipeline_hash FROM stored WHERE status = 'ready' AND pipeline_hash <> 'p2'")
+def stale_documents(spark, d):
+    return I.stale(stored(spark, d), "p2").select("key", "pipeline_hash")
+
+
+@query(
+    "delete_cascade",
+    """WITH gone AS (SELECT o_orderkey AS key FROM orders WHERE o_orderstatus = 'F'),
+doc AS (SELECT 'documents' AS kind, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT key FROM gone)), ch AS (SELECT 'chunks', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT key FROM gone))
+SELECT * FROM doc UNION ALL SELECT * FROM ch""",
+)
+def delete_cascade(spark, d):
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    left, chunks = I.delete_cascade(orders.select(F.col("o_orderkey").alias("key")), lines.select(F.col("l_orderkey").alias("key")), orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key")))
+    count = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    return count(left, "documents").union(count(chunks, "chunks"))
