@@ -105,12 +105,12 @@ def usage_merge(spark, d):
 PRICES = Fixture("profile string, price_in double, price_out double", [("click", 0.0008, 0.002), ("view", 0.00015, 0.0015), ("purchase", 0.0003, 0.0006), ("error", 0.0005, 0.0015)])
 
 
-@query("llm_cost", f"WITH {PRICES.sql('prices')} SELECT event_id, round(value / 1000 * price_in + CAST(json_extract(props, '$.k') AS DOUBLE) / 1000 * price_out, 8) AS cost FROM events JOIN prices ON profile = event_type")
+@query("llm_cost", f"WITH {PRICES.sql('prices')} SELECT event_id, round(value / 1000 * price_in + CAST(json_extract(props, '$.k') AS DOUBLE) / 1000 * price_out, 12) AS cost FROM events JOIN prices ON profile = event_type")
 def llm_cost(spark, d):
     """value stands for the tokens read, props.k for those written; an unknown profile has no price and no row."""
     events = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
     cost = F.col("value") / 1000 * F.col("price_in") + F.col("k") / 1000 * F.col("price_out")
-    return events.join(F.broadcast(PRICES.df(spark)), F.col("event_type") == F.col("profile")).select("event_id", F.round(cost, 8).alias("cost"))
+    return events.join(F.broadcast(PRICES.df(spark)), F.col("event_type") == F.col("profile")).select("event_id", F.round(cost, 12).alias("cost"))
 
 
 # --- wording of answers, on literal cases ---
