@@ -1 +1,108 @@
+"""Question-set queries: yearly sums over `orders` stand for metrics of filings, literal tables for their wording."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import YEAR
+from ..operators import dataset as S
+from .catalogue import query, table
+from .fixture import Fixture
+
+METRICS = "m AS (SELECT o_orderpriority AS doc, o_orderstatus AS metric, year(o_orderdate) AS year, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1, 2, 3)"
+
+
+def metrics(spark, d):
+    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("doc"), F.col("o_orderstatus").alias("metric"), F.year("o_orderdate").alias("year")).agg(F.count("*").cast("double").alias("value"))
+
+
+@query("yoy_change", f"WITH {METRICS}, l AS (SELECT *, lag(value) OVER w AS b, year - lag(year) OVER w AS g FROM m WINDOW w AS (PARTITION BY doc, metric ORDER BY year)) SELECT doc, metric, CAST(year AS INTEGER) AS year, round((value - b) / abs(b) * 100, 2) AS change FROM l WHERE g = 1 AND b <> 0")
+def yoy_change(spark, d):
+    return S.year_over_year(metrics(spark, d))
+
+
+@query("usable_rows", f"WITH {METRICS}, g AS (SELECT *, value >= 10 AS ok, CASE WHEN metric <> 'P' THEN 'x' END AS unit FROM m), c AS (SELECT * FROM g WHERE ok AND unit IS NOT NULL) SELECT doc, metric, CAST(year AS INTEGER) AS year, value FROM c WHERE (doc, metric) IN (SELECT (doc, metric) FROM c GROUP BY doc, metric HAVING count(*) = count(DISTINCT value))")
+def usable_rows(spark, d):
+    rows = metrics(spark, d).withColumn("corroborated", F.col("value") >= 10).withColumn("unit", F.when(F.col("metric") != "P", "x"))
+    return S.usable(rows).select("doc", "metric", "year", "value")
+
+
+@query("conflicting_items", "SELECT o_custkey AS cust, o_orderpriority AS priority, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS truths FROM orders GROUP BY 1, 2 HAVING count(DISTINCT o_orderstatus) > 1")
+def conflicting_items(spark, d):
+    items = table(spark, d, "orders").select(F.col("o_custkey").alias("cust"), F.col("o_orderpriority").alias("priority"), "o_orderstatus")
+    return S.conflicting(items, ["cust", "priority"], "o_orderstatus").withColumn("truths", F.array_join("truths", ","))
+
+
+@query("merge_eval_sets", "SELECT text, 'new' AS origin FROM (SELECT DISTINCT text FROM conversations WHERE role = 'user') UNION ALL SELECT text, 'old' FROM benchmark WHERE text NOT IN (SELECT text FROM conversations WHERE role = 'user')")
+def merge_eval_sets(spark, d):
+    new = table(spark, d, "conversations").where("role = 'user'").select("text").distinct().withColumn("origin", F.lit("new"))
+    return S.merge(new, table(spark, d, "benchmark").select("text", F.lit("old").alias("origin")), "text")
+
+
+@query("sample_items", "SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42-' || doc_id)) AS r FROM documents) WHERE r <= 12")
+def sample_items(spark, d):
+    """A seeded sample of twelve a group is the operator."""
+    return S.sample(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 12)
+
+
+SHEETS = Fixture(
+    "id int, lines array<string>",
+    [
+        (1, ["| 主要会计数据 | 2025年 | 2024年 | 本期比上年同期增减(%) | 2023年 |", "| --- | --- | --- | --- | --- |", "| 营业收入（元） | 168,838,102,514.79 | 170,899,152,276.34 | -1.21 | 147,693,604,994.14 |", "| 无关 | 1 | 2 | 3 | 4 |"]),
+        (2, ["|  |  | 2025 年 |  | 2024 年 | 2023 年 |", "|  | 总资产（千元） |  | 456,451,731 | 14.96 | 400,000,000 | 350,000,000 |"]),
+        (3, ["| 项目 | 2025年 | 2024年 |", "|  |  | 调整后 | 调整前 |", "| 利润总额 | 1,000 | 900 | 890 |"]),
+        (4, ["| 项目 | 本期 | 上期 |", "| 营业收入 | 1,000 | 900 |"]),
+    ],
+)
+_CELLS = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(trim(l), '^\|+', ''), '\|+$', ''), '|'), lambda c: trim(c)), lambda c: c <> '')"
+
+
+@query(
+    "extract_metrics",
+    f"""WITH {SHEETS.sql('s')}, ln AS (SELECT id, unnest(lines) AS l, generate_subscripts(lines, 1) AS k FROM s), c AS (SELECT id, k, l, {_CELLS} AS cells FROM ln),
+hd AS (SELECT id, arg_min(cells, k) AS hc FROM c WHERE regexp_matches(l, '{YEAR}') AND len(list_filter(cells, lambda x: regexp_matches(x, '{S.GROUPED}'))) = 0 GROUP BY 1),
+h1 AS (SELECT id, hc[list_position(list_transform(hc, lambda x: regexp_matches(x, '{YEAR}')), true):] AS v FROM hd),
+h2 AS (SELECT id, list_transform(v, lambda x: CASE WHEN regexp_matches(x, '{YEAR}') AND NOT regexp_matches(x, '增减|增长|变动|幅度|%|％') THEN CAST(regexp_extract(x, '{YEAR}', 1) AS INT) END) AS cols FROM h1),
+h AS (SELECT id, cols, list_filter(cols, lambda y: y IS NOT NULL) AS years FROM h2),
+rs AS (SELECT id, bool_or(regexp_matches(l, '{S.RESTATED}')) AS restated FROM ln GROUP BY 1),
+r AS (SELECT c.id, trim(regexp_replace(cells[1], '{S.NAME_SUFFIX}', '')) AS metric, cells[2:] AS vs, cols, years, restated FROM c JOIN h ON h.id = c.id JOIN rs ON rs.id = c.id WHERE len(cells) >= 2 AND len(years) > 0),
+w AS (SELECT *, list_filter(vs, lambda x: regexp_matches(replace(x, ' ', ''), '{S.GROUPED}')) AS gr FROM r WHERE metric IN ({', '.join(f"'{x}'" for x in S.WANTED)})),
+mo AS (SELECT *, CASE WHEN len(vs) = len(cols) THEN 'exact' WHEN len(gr) = len(years) THEN 'shape' WHEN restated THEN 'leftmost' END AS mode FROM w),
+p AS (SELECT id, metric, mode, unnest(CASE mode WHEN 'exact' THEN cols WHEN 'shape' THEN years ELSE years[1:1] END) AS year, unnest(CASE mode WHEN 'exact' THEN vs WHEN 'shape' THEN gr ELSE vs[1:1] END) AS raw FROM mo WHERE mode IS NOT NULL)
+SELECT id, metric, year, raw, mode FROM p WHERE year IS NOT NULL AND regexp_matches(replace(raw, ' ', ''), '^[-－(（]?[0-9,，]+(\\.[0-9]+)?[)）%]?$')""",
+)
+def extract_metrics(spark, d):
+    return S.extract_metrics(SHEETS.df(spark))
+
+
+CLAIMS = Fixture("id int, doc string, first int, last int, raw string", [(1, "a", 64, 66, "1,234.50"), (2, "a", 64, 0, "1,234.50"), (3, "a", 1, 2, "999"), (4, "b", 64, 66, "1,234.50"), (5, "a", 65, 65, "77")])
+SEEN = Fixture("doc string, page int, text string", [("a", 64, "合并现金流量表"), ("a", 65, "经营活动 1234.50 元"), ("a", 1, "无"), ("b", 70, "1,234.50"), ("a", 66, "77")])
+
+
+@query("corroborate", f"WITH {CLAIMS.sql('c')}, {SEEN.sql('s')} SELECT c.id, coalesce(bool_or(contains(text, raw) OR contains(replace(text, ',', ''), replace(raw, ',', ''))), false) AS corroborated FROM c LEFT JOIN s ON s.doc = c.doc AND s.page BETWEEN c.first AND greatest(c.first, c.last) GROUP BY 1")
+def corroborate(spark, d):
+    return S.corroborated(CLAIMS.df(spark), SEEN.df(spark))
+
+
+SCOPES = Fixture(
+    "doc string, metric string, year int, scope string, value double, unit string, corroborated boolean",
+    [("茅台", "现金流", 2025, "合并", 615.0, "亿元", True), ("茅台", "现金流", 2025, "母公司", 326.0, "亿元", True), ("茅台", "总资产", 2025, "合并", 100.0, "亿元", True), ("茅台", "总资产", 2025, "母公司", 98.0, "亿元", True), ("格力", "净利润", 2025, "合并", 10.0, "亿元", True), ("格力", "净利润", 2025, "母公司", 5.0, "万元", True), ("格力", "营收", 2025, "合并", 10.0, "亿元", False), ("格力", "营收", 2025, "母公司", 5.0, "亿元", True)],
+)
+PAIRS = "pr AS (SELECT a.doc, a.metric, a.year, a.unit, a.value AS whole, b.value AS parent FROM s a JOIN s b USING (doc, metric, year, unit) WHERE a.scope = '合并' AND b.scope = '母公司' AND a.corroborated AND b.corroborated AND abs(a.value - b.value) >= 0.05::DOUBLE * greatest(abs(a.value), abs(b.value)))"
+
+
+@query("scope_pairs", f"WITH {SCOPES.sql('s')}, {PAIRS} SELECT * FROM pr")
+def scope_pairs(spark, d):
+    return S.scope_pairs(SCOPES.df(spark))
+
+
+@query(
+    "generate_items",
+    f"""WITH {SCOPES.sql('s')}, {PAIRS}, {METRICS}, l AS (SELECT *, lag(value) OVER w AS b, year - lag(year) OVER w AS g FROM m WINDOW w AS (PARTITION BY doc, metric ORDER BY year))
+SELECT 'table' AS category, doc || year || '年' || metric || '是多少？' AS question, value, 'x' AS unit FROM m
+UNION ALL SELECT 'multihop', doc || year || '年' || metric || '同比变动百分之多少？', round((value - b) / abs(b) * 100, 2), '%' FROM l WHERE g = 1 AND b <> 0
+UNION ALL SELECT 'scope', doc || year || '年合并口径的' || metric || '是多少？', whole, unit FROM pr UNION ALL SELECT 'scope', doc || year || '年母公司口径的' || metric || '是多少？', parent, unit FROM pr""",
+)
+def generate_items(spark, d):
+    rows = metrics(spark, d)
+    return S.questions(rows.withColumn("unit", F.lit("x")), S.year_over_year(rows), S.scope_pairs(SCOPES.df(spark)))
