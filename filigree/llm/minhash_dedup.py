@@ -6,7 +6,8 @@
    so a similarity 1 - n / (2 samples), precisely where it is high.
 2. Texts of one set (same size, same two fingerprints) are one class; its smallest doc_id stands for it from here on.
 3. In each band's bucket every member is paired with one pivot, drawn by hash for that bucket, so a bucket of n gives n - 1
-   pairs and never all of them. A document has another pivot in each of its buckets.
+   pairs and never all of them. A document has another pivot in each of its buckets. Then the same around the member with
+   most confirmed links, for members of other components.
 4. Pairs whose sizes allow the threshold and whose sketches do not speak against it by five standard deviations are
    confirmed on full sets; confirmed ones make components.
 5. What a pivot could hide is then made good exactly: of each bucket that still holds several components, the members
@@ -117,15 +118,14 @@ def _sets(n: int):
     return of
 
 
-def _members(n: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, buf, bounds in slices(batch.column("text")):
-                h, edge = shingle_sets(Words(buf, bounds, lower=True), n)
-                rows = pa.array(np.repeat(np.arange(i, j), np.diff(edge)))
-                yield pa.RecordBatch.from_arrays([batch.column("coarse").take(rows), batch.column("doc_id").take(rows), signed(h)], ["coarse", "id", "h"])
-
-    return of
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of stored sets."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 1024):
+            part = batch.slice(k, 1024)
+            sets = [np.frombuffer(x.as_buffer(), U) for x in part.column("members")]
+            rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            yield pa.RecordBatch.from_arrays([part.column("coarse").take(rows), part.column("id").take(rows), signed(np.concatenate(sets))], ["coarse", "id", "h"])
 
 
 def _confirm(percent: int):
@@ -149,12 +149,14 @@ def _confirm(percent: int):
 
 
 def most_differing_bits(percent: int) -> int:
-    """The odd sketches of a pair at the threshold differ in more bits than this less often than once in a million."""
-    samples, m = BANDS * ROWS, SKETCH_BYTES * 8
-    s = percent / 100
-    flips = 2 * (samples * (1 - s) + 5 * (samples * s * (1 - s)) ** 0.5)
-    mean = m / 2 * (1 - (1 - 2 / m) ** flips)
-    return int(min(m, mean + 5 * (m / 4) ** 0.5 * (1 - (1 - 2 / m) ** (2 * flips)) ** 0.5))
+    """The odd sketches of a pair at the threshold differ in more bits than this less often than once in a million: five
+    standard deviations, of the samples and of the bits they flip."""
+    samples, m, s = BANDS * ROWS, SKETCH_BYTES * 8, percent / 100
+    flips = 2 * samples * (1 - s)
+    unflipped = (1 - 2 / m) ** flips
+    by_samples = 2 * unflipped * (samples * s * (1 - s)) ** 0.5
+    by_bits = (m / 4 * (1 - unflipped**2)) ** 0.5
+    return int(min(m, m / 2 * (1 - unflipped) + 5 * (by_samples**2 + by_bits**2) ** 0.5))
 
 
 def _possible(percent: int) -> str:
@@ -168,58 +170,76 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signature = materialise(docs.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, p long, q long, bands array<long>, sketch array<long>"), "signatures")
     known = signature.where("n_shingles > 0 and doc_id is not null")
-    sets = ["n_shingles", "p", "q"]
-    classes = materialise(known.groupBy(*sets).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        members = materialise(docs.join(ids, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "id long, members binary"), "sets")
-        x, y = members.toDF("a", "x"), members.toDF("b", "y")
-        return pairs.join(x, "a").join(y, "b").mapInArrow(_confirm(percent), "a long, b long")
+    alike = ["n_shingles", "p", "q"]
+    classes = materialise(known.groupBy(*alike).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
 
     in_band = classes.select("id", F.explode("bands").alias("key"))
     drawn = F.min(F.struct(F.xxhash64("id", "key").alias("o"), "id"))
     buckets = materialise(in_band.groupBy("key").agg(drawn.alias("pivot"), F.count("*").alias("c")).where("c > 1").select("key", F.col("pivot.id").alias("pivot")), "buckets")
     fellow = materialise(in_band.join(buckets, "key"), "fellows")
-    pairs = fellow.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    ids = fellow.select(F.col("id").alias("doc_id")).distinct()
+    sets = materialise(docs.join(ids, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "id long, members binary"), "sets")
     left = classes.select(F.col("id").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))
     right = left.toDF("b", "m", "t")
-    tested = materialise(pairs.join(left, "a").join(right, "b").where(_possible(percent)).select("a", "b"), "tested")
-    links = materialise(confirmed(tested), "links")
 
+    def star(members: DataFrame) -> DataFrame:
+        """Of members (id, pivot) the pairs that may be links."""
+        pairs = members.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        return pairs.join(left, "a").join(right, "b").where(_possible(percent)).select("a", "b")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
+        return materialise(pairs.join(x, "a").join(y, "b").mapInArrow(_confirm(percent), "a long, b long"), "links")
+
+    def split(component: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The members of buckets with their components, and the largest component of each bucket that has several."""
+        named = fellow.select("key", "id").join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        each = named.groupBy("key", "component").agg(F.count("*").alias("c"))
+        mixed = each.groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
+        return named, mixed.select("key", F.col("main.component").alias("main"))
+
+    tested = materialise(star(fellow), "tested")
+    links = confirmed(tested)
     component = components(links)
-    named = fellow.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    each = named.groupBy("key", "component").agg(F.count("*").alias("c"))
-    mixed = each.groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").select("key", F.col("main.component").alias("main"))
+    # once more around the member that has most links, so that what is near the middle of a group is linked with it
+    named, mixed = split(component)
+    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("links"))
+    around = materialise(named.join(mixed, "key").join(degree, "id", "left").withColumn("links", F.coalesce("links", F.lit(0))), "mixed")
+    hub = around.groupBy("key").agg(F.max(F.struct("links", "id")).alias("h")).select("key", F.col("h.id").alias("pivot"))
+    of_hub = around.select("key", "id", "component").join(hub, "key").join(component.toDF("pivot", "other"), "pivot", "left").where("component <> coalesce(other, pivot)")
+    again = materialise(star(of_hub.select("id", "pivot")).join(tested, ["a", "b"], "left_anti"), "tested")
+    if not again.isEmpty():
+        links, tested = links.union(confirmed(again)), tested.union(again)
+        component = components(links)
+    named, mixed = split(component)
     full = materialise(named.join(mixed, "key").join(left.withColumnRenamed("a", "id"), "id"), "mixed")
-    fresh = full.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     if not full.isEmpty():
         one = full.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "s", "component")), F.max(F.expr("component <> main")).alias("stray"))
-        coarse = components(pairs).select("id", F.col("component").alias("coarse"))
-        of_mixed = docs.join(one.join(coarse, "id").select(F.col("id").alias("doc_id"), "coarse"), "doc_id").dropDuplicates(["doc_id"])
-        each = materialise(of_mixed.mapInArrow(_members(shingle), "coarse long, id long, h long"), "members")
+        every = fellow.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+        coarse = components(every).select("id", F.col("component").alias("coarse"))
+        each = materialise(sets.join(one.join(coarse, "id").select("id", "coarse"), "id").select("coarse", "id", "members").mapInArrow(_each, "coarse long, id long, h long"), "members")
         rare = materialise(each.join(each.groupBy("coarse", "h").agg(F.count("*").alias("c")).where(f"c <= {RARE}"), ["coarse", "h"]), "rare")
         held = rare.groupBy("id").agg(F.count("*").alias("e"))
         one = materialise(one.join(held, "id", "left").withColumn("few", F.col("n") - F.coalesce("e", F.lit(0))).drop("e"), "one")
-        # pairs of a bucket that need no rare shingle; two strays of a bucket meet twice, so only once here
-        members = full.select("key", "id", "main").join(one, "id")
-        stray = members.where("component <> main").select("key", F.col("id").alias("i"), "n", "s", F.col("few").alias("x"), F.col("component").alias("own"))
-        other = members.select("key", F.col("id").alias("j"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("few").alias("y"), "component", "main")
-        reach = f"100 * least(x, y) >= {percent} * (n + m - least(x, y)) and {_possible(percent)}"
+        # pairs of a bucket that need no rare shingle, each in the first bucket that both are in; two strays meet twice, so only once here
+        members = full.select("key", "id", "main").join(one, "id").join(classes.select("id", "bands"), "id")
+        stray = members.where("component <> main").select("key", F.col("id").alias("i"), "n", "s", F.col("few").alias("x"), F.col("component").alias("own"), F.col("bands").alias("p"))
+        other = members.select("key", F.col("id").alias("j"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("few").alias("y"), "component", "main", F.col("bands").alias("q"))
+        reach = f"100 * least(x, y) >= {percent} * (n + m - least(x, y)) and {_possible(percent)} and array_min(array_intersect(p, q)) = key"
         met = stray.join(other, "key").where("own <> component and (component = main or i < j)").where(reach).select("i", "j")
-        # pairs with a rare shingle early in both
+        # pairs with a rare shingle early in both; the first that two share leaves room for enough more after it
         early = rare.join(one, "id").withColumn("rank", F.expr("row_number() over (partition by id order by c, h)")).where(f"c > 1 and rank <= n - ceil({percent} * n / 100) + 1")
-        stray = early.where("stray").select("coarse", "h", F.col("id").alias("i"), "n", "s", F.col("component").alias("own"))
-        other = early.select("coarse", "h", F.col("id").alias("j"), F.col("n").alias("m"), F.col("s").alias("t"), "component", F.col("stray").alias("too"))
-        met = met.union(stray.join(other, ["coarse", "h"]).where("own <> component and (not too or i < j)").where(_possible(percent)).select("i", "j"))
+        stray = early.where("stray").select("coarse", "h", F.col("id").alias("i"), "n", "s", F.col("component").alias("own"), F.col("rank").alias("x"))
+        other = early.select("coarse", "h", F.col("id").alias("j"), F.col("n").alias("m"), F.col("s").alias("t"), "component", F.col("stray").alias("too"), F.col("rank").alias("y"))
+        room = f"(100 + {percent}) * (1 + least(n - x, m - y)) >= {percent} * (n + m) and {_possible(percent)}"
+        met = met.union(stray.join(other, ["coarse", "h"]).where("own <> component and (not too or i < j)").where(room).select("i", "j"))
         fresh = materialise(met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
-    if not fresh.isEmpty():
-        more = materialise(confirmed(fresh), "links")
-        links, tested = links.union(more), tested.union(fresh)
-        component = components(links)
-    of_class = classes.join(component, "id", "left").select(*sets, F.coalesce("component", "id").alias("component_id"))
+        if not fresh.isEmpty():
+            links = links.union(confirmed(fresh))
+            component = components(links)
+    of_class = classes.join(component, "id", "left").select(*alike, F.coalesce("component", "id").alias("component_id"))
     # the ids of rows that repeat a doc_id name one document
-    linked = known.join(of_class, sets).select("doc_id", "n_shingles", "component_id")
+    linked = known.join(of_class, alike).select("doc_id", "n_shingles", "component_id")
     alone = signature.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
