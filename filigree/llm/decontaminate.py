@@ -189,7 +189,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, with all their columns, without the contaminated ones."""
     bad = contamination(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == F.col("_bad"), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad"], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -
 def representatives(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """docs, with all their columns: of each component the document whose doc_id names it, once; rows with a null doc_id."""
     kept = near_duplicates(docs, shingle, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    chosen = docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
+    chosen = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi").dropDuplicates(["doc_id", "text"])
     return chosen.union(docs.where(docs["doc_id"].isNull()))
 
 

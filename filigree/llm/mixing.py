@@ -99,7 +99,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     order is that of the files' numbers and of the rows in them."""
     plan = interleave(docs, **how).select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("slot").alias("_slot"))
     joined = docs.join(plan, [docs["source"].cast("string").eqNullSafe(plan["_s"]), docs["doc_id"].cast("long").eqNullSafe(plan["_d"])])
-    return joined.orderBy("_slot", F.col("_d").asc_nulls_first()).select(*(docs[c] for c in docs.columns))
+    return joined.orderBy(plan["_slot"], plan["_d"].asc_nulls_first()).select(*(docs[c] for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
