@@ -70,7 +70,7 @@ KNOWN = [
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
 ]
 # Spellings that count as one.
-SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sub licensed", "sublicensed"), ("non commercial", "noncommercial"), ("copyright owner", "copyright holder"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("whilst", "while"), ("wilful", "willful"), ("https", "http"), ("version 2 0", "version 2"), ("v 2 0", "version 2"), ("v2 0", "version 2"), ("version 3 0", "version 3")]
+SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("sublicence", "sublicense"), ("sublicenced", "sublicensed"), ("sub license", "sublicense"), ("sub licensed", "sublicensed"), ("non commercial", "noncommercial"), ("copyright owner", "copyright holder"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("whilst", "while"), ("wilful", "willful"), ("https", "http"), ("version 2 0", "version 2"), ("v 2 0", "version 2"), ("v2 0", "version 2"), ("version 3 0", "version 3")]
 MARKS = ["licen", "permission", "redistribution", "public domain", "public license", "rights reserved"]
 #: A line that is a statement of copyright and nothing else. It may end in "all rights reserved"; that line by itself stays.
 COPYRIGHT = r"(?m)^[^a-z0-9©\n]*(?:copyright|\(c\)|©)[^a-z\n]*(?:\(c\)|©|[0-9])[^\n]*$"
