@@ -11,11 +11,11 @@ classes of a clause, each with its own states:
 
 They are composed into one deterministic machine (the product of their states, as far as it can be reached), so a clause is
 scored in one table step a word; scores are of matched clauses, not of words. A text's score is a logistic function of the
-logarithm of its clauses' sum.
+logarithm of its clauses' sum and of its length.
 
 Lexicon. A fixed list of plain insults, and what labelled texts teach: words, and stems (prefixes of 4 to 8 bytes, for
-languages that inflect), whose share of toxic texts is larger than that of others beyond doubt (by the lower bound of the log
-odds ratio; the ratio itself is the weight). At most FIT_ROWS labelled texts, drawn by hash of doc_id, are used for it and for the logistic; every text is
+languages that inflect), whose share of toxic texts is larger than that of others beyond doubt (by the log odds ratio, which is
+the weight, and its lower bound). At most FIT_ROWS labelled texts, drawn by hash of doc_id, are used for it and for the logistic; every text is
 scored. Only the text is ever an input of a score.
 
 Defined cases: a null or empty text has no clause and gets the score of such; labels that are null count as none; a doc_id
@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from .shared import table
 
 FIT_ROWS = 20_000
-LEAST_ODDS = 2.5
+#: Of what counts as insult: the least log odds ratio, and the least of its lower bound.
+ODDS, LEAST_ODDS = 3.5, 2.5
 STEMS = (4, 5, 6, 7, 8)
 
 # Plain words of each class.
@@ -138,12 +139,14 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]+|[\"“”«»„]
 
 @dataclass
 class Grammar:
-    """words and stems with their weights; the logistic is 1 / (1 + exp(-(bias + slope * log(1 + sum))))."""
+    """words and stems with their weights; the logistic is that of bias + slope * log(1 + sum), plus by_length * log(1 + characters / 1000) if the sum is not 0: a
+    long text meets a doubtful word by chance."""
 
     words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS, 5.0))
     stems: dict[bytes, float] = field(default_factory=dict)
     bias: float = -3.0
     slope: float = 3.0
+    by_length: float = 0.0
 
     def weigh(self, word: str) -> float:
         if word in self.words:
@@ -176,8 +179,9 @@ class Grammar:
             found.append((text[begin:].strip(), total))
         return found
 
-    def score(self, total: float) -> float:
-        return float(1 / (1 + np.exp(-(self.bias + self.slope * np.log1p(total)))))
+    def score(self, total: float, chars: int = 0) -> float:
+        x = self.bias + self.slope * np.log1p(total) + self.by_length * (total > 0) * np.log1p(chars / 1000)
+        return float(1 / (1 + np.exp(-x)))
 
 
 def plain_words(text: str | None) -> set[bytes]:
@@ -219,7 +223,7 @@ def lexicon(rows: list[tuple[bytes, int, int]], toxic: int, clean: int) -> Gramm
     sure: dict[bytes, tuple[float, int]] = {}
     for f, a, b in rows:
         odds = float(np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1)))
-        if odds - 1.64 * (1 / (a + 0.5) + 1 / (b + 0.5)) ** 0.5 >= LEAST_ODDS:
+        if odds >= ODDS and odds - 1.64 * (1 / (a + 0.5) + 1 / (b + 0.5)) ** 0.5 >= LEAST_ODDS:
             sure[bytes(f)] = odds, a
     most = Counter()  # of each stem: the texts of its most frequent word
     for f, (_, a) in sure.items():
@@ -241,22 +245,23 @@ def _totals(grammar: Grammar):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             totals = [sum(t for _, t in grammar.clauses(x)) if x and scan.hits(x) else 0.0 for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(totals, pa.float64()), batch.column("toxic")], ["total", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(totals, pa.float64()), pa.array([len(x or "") for x in texts], pa.int64()), batch.column("toxic")], ["total", "chars", "toxic"])
 
     return of
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Bias and slope of a logistic of log(1 + x), with a weak pull to the fixed one; Newton's method."""
-    z, beta, prior = np.stack([np.ones(len(x)), np.log1p(x)], axis=1), np.array([-3.0, 3.0]), np.array([-3.0, 3.0])
+def fit_logistic(x: np.ndarray, chars: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Bias, slope of log(1 + x) and of the length, with a weak pull to the fixed ones; Newton's method."""
+    prior = np.array([-3.0, 3.0, 0.0])
+    z, beta = np.stack([np.ones(len(x)), np.log1p(x), (x > 0) * np.log1p(chars / 1000)], axis=1), prior
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
         gradient = z.T @ (y - p) - 0.5 * (beta - prior)
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.5 * np.eye(2), gradient)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.5 * np.eye(3), gradient)
         beta = beta + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0]), float(beta[1])
+    return float(beta[0]), float(beta[1]), float(beta[2])
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: str, rows: int = FIT_ROWS) -> Grammar:
@@ -276,8 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: str, rows: int = FIT_ROWS)
         return Grammar()
     odds = f"ln((toxic + 0.5) / {size.toxic + 1}) - ln((clean + 0.5) / {size.clean + 1}) - 1.64 * sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))"
     grammar = lexicon([tuple(r) for r in counted.where(f"feature <> X'' and {odds} >= {LEAST_ODDS}").collect()], size.toxic, size.clean)
-    seen = sample.mapInArrow(_totals(grammar), "total double, toxic int").toPandas()  # two numbers for each row of the sample
-    grammar.bias, grammar.slope = fit_logistic(seen["total"].to_numpy(), seen["toxic"].to_numpy(float))
+    seen = sample.mapInArrow(_totals(grammar), "total double, chars long, toxic int").toPandas()  # three numbers for each row of the sample
+    grammar.bias, grammar.slope, grammar.by_length = fit_logistic(*(seen[c].to_numpy(float) for c in ("total", "chars", "toxic")))
     return grammar
 
 
@@ -291,8 +296,9 @@ def _scored(grammar: Grammar):
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                found = [grammar.clauses(x) if x and scan.hits(x) else [] for x in part.column("text").to_pylist()]
-                scores = [grammar.score(sum(t for _, t in own)) for own in found]
+                texts = part.column("text").to_pylist()
+                found = [grammar.clauses(x) if x and scan.hits(x) else [] for x in texts]
+                scores = [grammar.score(sum(t for _, t in own), len(x or "")) for x, own in zip(texts, found)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(scores, pa.float64()), pa.array([[{"clause": c, "score": t} for c, t in own] for own in found], kind)], ["doc_id", "score", "clauses"]
                 )
@@ -311,7 +317,7 @@ def _keep(grammar: Grammar, threshold: float):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _Scan(grammar)
         for batch in batches:
-            rows = [k for k, x in enumerate(batch.column("text").to_pylist()) if not (x and scan.hits(x)) or grammar.score(sum(t for _, t in grammar.clauses(x))) < threshold]
+            rows = [k for k, x in enumerate(batch.column("text").to_pylist()) if not (x and scan.hits(x)) or grammar.score(sum(t for _, t in grammar.clauses(x)), len(x)) < threshold]
             yield batch.take(pa.array(rows, pa.int64()))
 
     return of
