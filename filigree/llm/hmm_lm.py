@@ -13,7 +13,7 @@ Training. A start is fitted on about SAMPLE training texts, drawn by hash (that
 ITERATIONS rounds of Baum-Welch go over every training text: each task adds up its expected counts, one shuffle sums them
 over the partitions by symbol, and the driver gets SYMBOLS + CLASSES rows.
 
-Scoring. The counts of the LOOKUP most frequent tokens go to the tasks with the model; any other token's count comes by a
+Scoring. The counts of the most frequent tokens, LOOKUP at most, go to the tasks with the model; any other token's count comes by a
 shuffle join of (text, token, how often) with the table of all counts, so nothing that grows with the vocabulary is
 broadcast. Tokens are compared by 64-bit hashes.
 
@@ -36,6 +36,7 @@ from .shared import materialise, table
 from .words import U, Words, mix, signed, slices, stream
 
 STATES, SYMBOLS, CLASSES, LOOKUP = 8, 16_000, 1024, 100_000
+RUNGS = 64
 SAMPLE, START_ITERATIONS, ITERATIONS = 1500, 12, 2
 #: Tokens whose forward variables are held at once.
 HELD = 400_000
@@ -258,7 +259,15 @@ def _score(model: Model, known: np.ndarray, counts: np.ndarray, share: np.ndarra
 def train(texts: DataFrame, states: int = STATES, iterations: int = ITERATIONS) -> tuple[Model, DataFrame, dict]:
     """The model, the table of all counts (h, g, c) and what scoring needs of them. texts: the training texts."""
     counts = materialise(texts.mapInArrow(_count, "h long, g int, n long").groupBy("h").agg(F.first("g").alias("g"), F.sum("n").alias("c")), "counts")
-    top = counts.orderBy(F.desc("c"), "h").limit(LOOKUP).collect()  # LOOKUP rows
+    # the most frequent tokens, LOOKUP at most: down to the count (on a scale of RUNGS steps for each doubling) that many reach
+    rung = F.floor(F.log2("c") * RUNGS).cast("int")
+    reach, floor = 0, 0
+    for r in sorted(counts.groupBy(rung.alias("r")).agg(F.count("*").alias("n")).collect(), reverse=True):  # a row for each rung
+        if reach + r.n > LOOKUP:
+            floor = r.r + 1
+            break
+        reach += r.n
+    top = sorted(counts.where(rung >= floor).collect(), key=lambda r: (-r.c, r.h))
     h, c = np.array([r.h for r in top], np.int64).view(U), np.array([r.c for r in top], np.float64)
     own_n = min(SYMBOLS, len(h))
     order = np.argsort(h[:own_n])
@@ -298,11 +307,14 @@ def scores(docs: DataFrame, held_out: str, states: int = STATES, iterations: int
     scored = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
         _score(model, **rest), "doc_id long, row long, n_tokens long, n_known long, base_score double, score double, h array<long>, times array<long>"
     )
-    each = scored.select("doc_id", "row", "n_tokens", "n_known", "base_score", "score", F.explode_outer(F.arrays_zip("h", "times")).alias("t")).select("*", F.col("t.h").alias("h"), F.col("t.times").alias("times"))
+    # what belongs to the text goes with its first row alone, as most rows are other tokens
+    own = ("doc_id", "n_tokens", "n_known", "base_score", "score")
+    spread = scored.select("row", *own, F.posexplode_outer(F.arrays_zip("h", "times")).alias("at", "t"))
+    each = spread.select("row", F.col("t.h").alias("h"), F.col("t.times").alias("times"), *(F.when(F.coalesce("at", F.lit(0)) == 0, F.col(x)).alias(x) for x in own))
     c = F.coalesce("c", F.lit(0))
     joined = each.join(counts.select("h", "c"), "h", "left")
     sums = joined.groupBy("row").agg(
-        *(F.first(x).alias(x) for x in ("doc_id", "n_tokens", "n_known", "base_score", "score")),
+        *(F.max(x).alias(x) for x in own),
         F.coalesce(F.sum(F.when(c > 0, F.col("times"))), F.lit(0)).alias("more_known"),
         F.coalesce(F.sum(F.col("times") * F.log10(c + 0.5)), F.lit(0.0)).alias("more"),
     )
