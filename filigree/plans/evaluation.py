@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators.ranks import order_statistics
+from ..sources.shared import materialise
 from .catalogue import query, table
 from .fixture import Fixture
 
@@ -50,7 +51,7 @@ def numbered(df, order: str):
     """i from 0 without gaps, by range partitions and their sizes."""
     from pyspark.sql import Window
 
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("m", F.monotonically_increasing_id()).cache()
+    ranged = materialise(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("m", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("m", 33)
     sizes = ranged.groupBy(part.alias("p")).agg(F.count("*").alias("c"))  # a row for each partition
     before = sizes.select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("b"))

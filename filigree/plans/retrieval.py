@@ -168,9 +168,9 @@ def build_citations(spark, d):
 
 @query(
     "format_context",
-    f"""WITH {bm25_sql('n_chars < 400', 3)} SELECT qid, string_agg('[' || rank || ']（来源：' || lang || ' 第' || (id % 7) || '页 · ' || source || '）' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context
+    f"""WITH {bm25_sql('true', 3)} SELECT qid, string_agg('[' || rank || ']（来源：' || lang || ' 第' || (id % 7) || '页 · ' || source || '）' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context
 FROM bm JOIN documents ON doc_id = id GROUP BY 1""",
 )
 def format_context(spark, d):
-    c = table(spark, d, "documents").where("n_chars < 400").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("doc_key"), (F.col("doc_id") % 7).alias("page"), F.col("source").alias("heading"))
+    c = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("doc_key"), (F.col("doc_id") % 7).alias("page"), F.col("source").alias("heading"))
     return R.context(R.bm25(c, questions(spark, d), 3), c)
