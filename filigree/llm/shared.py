@@ -2,34 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_ROWS = 3000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="filigree-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from ..sources.shared import fresh_path, materialise, shared_dir
 
+__all__ = ["fresh_path", "materialise", "shared_dir", "table"]
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path that nothing has used yet, in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing that was written."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+BATCH_ROWS = 3000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
