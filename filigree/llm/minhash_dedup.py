@@ -1,6 +1,6 @@
 """MinHash near-dedup: bands find candidates, odd sketches screen them, full shingle sets confirm them.
 
-1. Each text becomes its set of distinct word shingles (64-bit hashes), MAPPERS' MinHash samples of it, one key for each
+1. Each text becomes its set of distinct word shingles (64-bit hashes), BANDS x ROWS MinHash samples of it, one key for each
    band of samples, and an odd sketch: a bitmap in which every (sample number, sample) flips one bit. Of two sketches the
    XOR's population count estimates how many samples differ: with d bits of m, n = ln(1 - 2 d / m) / ln(1 - 2 / m) flips,
    so a similarity 1 - n / (2 samples), precisely where it is high.

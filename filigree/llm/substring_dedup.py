@@ -14,6 +14,9 @@ map-side combined aggregate, and both joins are plain shuffle joins that adaptiv
 stands in a third of all documents meets in no single task. A text that an earlier
 document has whole is one factor at once. Texts are shuffled once, by document.
 
+A text that repeats itself shows each
+anchor and each block once, and finds the other places again when it is cut.
+
 Blocks are compared by 64-bit hashes of their word sequences.
 
 Defined cases: a null or empty text has no words; rows with a null doc_id keep all their words; rows with the same
@@ -35,6 +38,12 @@ from .words import Words, grams, signed, slices, window_min
 BLOCK, GRAM = 50, 16
 
 
+def _once(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Of hashes and their texts the places of the first of each pair: a text that repeats itself counts once."""
+    pair = h + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return np.sort(np.unique(pair, return_index=True)[1])
+
+
 def _anchors(block: int, gram: int):
     run = block - gram + 1
 
@@ -51,6 +60,7 @@ def _anchors(block: int, gram: int):
                 room = np.zeros(run - 1, np.uint64)
                 most = ~window_min(~np.concatenate([room, low, room]), run)
                 k = np.flatnonzero(most == h)
+                k = k[_once(h[k], owner[k])]
                 doc = owner[k]
                 rows = pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays(
@@ -77,6 +87,7 @@ def _blocks(block: int, gram: int):
                 place[g_at] = np.arange(len(g_at))
                 low = window_min(g, block - gram + 1)[place[at]]  # each block's own anchor
                 k = np.flatnonzero(np.isin(low, g[place[anchor]]))
+                k = k[_once(h[k], words.owners()[at[k]])]
                 doc = words.owners()[at[k]]
                 rows = pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays(
@@ -88,31 +99,44 @@ def _blocks(block: int, gram: int):
 
 
 def _cut(block: int):
-    """Joins each text's repeated block starts into factors and cuts these out."""
+    """Joins each text's repeated blocks into factors and cuts these out."""
+    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def everywhere(buf: np.ndarray, bounds: np.ndarray, starts: pa.Array) -> list[np.ndarray]:
+        """For each text the positions of all blocks that equal one of those that start at `starts`."""
+        words = Words(buf, bounds, lower=False)
+        h, at = grams(words.hash, words.first, block)
+        owner = words.owners()[at] if len(at) else at
+        pair = h + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        place = np.zeros(len(words.hash), np.int64)
+        place[at] = np.arange(len(at))
+        marked = np.asarray(starts.flatten(), np.int64) + np.repeat(words.first[:-1], np.asarray(starts.value_lengths().fill_null(0), np.int64))
+        found = np.flatnonzero(np.isin(pair, pair[place[marked]]))
+        edges = np.searchsorted(owner[found], np.arange(len(bounds)))
+        return [at[found[x:y]] - first for x, y, first in zip(edges, edges[1:], words.first)]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, starts, copies = batch.column("text").cast(pa.binary()), batch.column("starts"), batch.column("copy")
-            for k in range(0, batch.num_rows, 256):
+            texts, starts, copies = batch.column("text"), batch.column("starts"), batch.column("copy")
+            for i, j, buf, bounds in slices(texts):
+                own = starts.slice(i, j - i)
+                repeated = everywhere(buf, bounds, own) if len(own.flatten()) else [()] * (j - i)
+                raw = buf.tobytes()
                 n_words, spans, kept = [], [], []
-                for text, at, copy in zip(texts.slice(k, 256).to_pylist(), starts.slice(k, 256), copies.slice(k, 256).to_pylist()):
-                    words = (text or b"").split()
+                for a, b, at, copy in zip(bounds.tolist(), bounds[1:].tolist(), repeated, copies.slice(i, j - i).to_pylist()):
+                    words = raw[a:b].split()
                     n_words.append(len(words))
                     factors = []
                     if copy and len(words) >= block:
                         factors, words = [(0, len(words))], []
-                    elif at.is_valid and len(at.values):
-                        a = np.unique(at.values.to_numpy(zero_copy_only=False))
-                        gap = np.flatnonzero(np.diff(a) > block)
-                        factors = [(int(x), int(y)) for x, y in zip(a[np.r_[0, gap + 1]], a[np.r_[gap, len(a) - 1]] + block)]
+                    elif len(at):
+                        gap = np.flatnonzero(np.diff(at) > block)
+                        factors = [(int(x), int(y)) for x, y in zip(at[np.r_[0, gap + 1]], at[np.r_[gap, len(at) - 1]] + block)]
                         for x, y in reversed(factors):
                             del words[x:y]
                     spans.append([{"start": x, "end": y} for x, y in factors])
                     kept.append(b" ".join(words))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(k, 256), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()).cast(pa.string())],
-                    ["doc_id", "n_words", "spans", "kept"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "spans", "kept"])
 
     return of
 
