@@ -232,7 +232,7 @@ def _score(model: Model, known: np.ndarray, counts: np.ndarray, share: np.ndarra
                 own = np.where(there, np.log10(counts[at] + 0.5), 0.0) if len(known) else np.zeros(len(h))
                 kind = s >= len(model.own)
                 n_tokens[i:j] = n
-                n_known[i:j] = np.bincount(owner, there & (counts[at] > 0) if len(known) else None, j - i) if len(known) else 0
+                n_known[i:j] = np.bincount(owner, there, j - i)
                 base_score[i:j] = np.bincount(owner, own, j - i) - n * base
                 score[i:j] = np.bincount(owner, np.where(kind, own - share[g], 0.0), j - i)
                 # the rest: each text's other tokens, once each
