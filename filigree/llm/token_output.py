@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from .shared import fresh_path, table
 
 SEQUENCE, BATCH, END_ID = 2048, 64, 0
-#: Pieces that a worker remembers, at most.
-CACHE_PIECES = 1_000_000
+#: Pieces that a worker remembers, at most, and between tasks.
+CACHE_PIECES, KEPT_PIECES = 600_000, 300_000
 
 
 def _file_system(path: str):
@@ -225,6 +225,8 @@ def _write(folder: str, tokenizer: str, sequence: int, batch: int, end: int):
                 at = out.total + np.cumsum(counts) - counts
                 index.write_batch(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(at), pa.array(counts)], schema=INDEX))
                 out.add(ids)
+        if len(encode.number) > KEPT_PIECES:  # the worker goes on to other work, too
+            encode.clear()
         if out is not None:
             out.close()
             stream.close()
