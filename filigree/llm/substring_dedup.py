@@ -144,7 +144,10 @@ def _cut(block: int):
 def substring_dedup(docs: DataFrame, block: int = BLOCK, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_words, spans (word positions [start, end) of duplicate factors, in order), kept
     (the other words, joined by one space)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # as they are where they have their types: a cast that does nothing would keep Spark from seeing that all uses of the
+    # shuffled texts below are one
+    kinds = dict(docs.dtypes)
+    docs = docs.select(*(F.col(c) if kinds[c] == kind else F.col(c).cast(kind).alias(c) for c, kind in (("doc_id", "bigint"), ("text", "string"))))
     keyed = docs.where("doc_id is not null").withColumn("key", F.xxhash64("text"))
     # a text that an earlier document has whole has nothing of its own: it takes part in no parse
     texts = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
