@@ -9,9 +9,9 @@ class's training tokens, add-half smoothed, with one place for unseen tokens, as
 
 so the probability of a text is exact, and the state tables are bounded however large the vocabulary grows.
 
-Training. A start is fitted on about SAMPLE training texts, drawn by hash (that bounds what the driver sees); then
-ITERATIONS rounds of Baum-Welch go over every training text: each task adds up its expected counts, one shuffle sums them
-over the partitions by symbol, and the driver gets SYMBOLS + CLASSES rows.
+Training. From a start of fixed noise, ITERATIONS rounds of Baum-Welch go over every training text. The texts are written as
+symbols once, and each round reads those: each task adds up its expected counts, one shuffle sums them over the partitions
+by symbol, and the driver gets SYMBOLS + CLASSES rows.
 
 Scoring. The counts of the most frequent tokens, LOOKUP at most, go to the tasks with the model; any other token's count comes by a
 shuffle join of (text, token, how often) with the table of all counts, so nothing that grows with the vocabulary is
@@ -37,7 +37,7 @@ from .words import U, Words, mix, signed, slices, stream
 
 STATES, SYMBOLS, CLASSES, LOOKUP = 8, 16_000, 1024, 100_000
 RUNGS = 64
-SAMPLE, START_ITERATIONS, ITERATIONS = 1500, 12, 2
+ITERATIONS = 14
 #: Tokens whose forward variables are held at once.
 HELD = 400_000
 END = U(0x454E44)
@@ -173,6 +173,28 @@ def _estimate(model: Model, counts: tuple[np.ndarray, np.ndarray, np.ndarray], o
     return Model(model.own, start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
+def _encode(model: Model):
+    """Each text as its symbols, four bytes each."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, h, g, first in tokens(batch.column("text")):
+                flat = pa.py_buffer(model.symbols(h, g).astype("<i4").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((4 * first).astype("<i4").tobytes()), flat])], ["symbols"])
+
+    return of
+
+
+def _decode(column: pa.Array, rows: int = 1000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(symbols, first) of some rows at a time."""
+    wide = pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    for i in range(0, len(column), rows):
+        part = at[i : i + rows + 1]
+        yield np.frombuffer(data, "<i4", int(part[-1] - part[0]) // 4, int(part[0])), (part - part[0]) // 4
+
+
 def _expect(model: Model):
     states = len(model.start)
 
@@ -189,8 +211,8 @@ def _expect(model: Model):
                 total = found if total is None else tuple(x + y for x, y in zip(total, found))
                 held.clear()
 
-            for _, _, h, g, first in tokens(batch.column("text")):
-                held.append((model.symbols(h, g).astype(np.int32), first))
+            for symbols, first in _decode(batch.column("symbols")):
+                held.append((symbols, first))
                 if sum(len(x) for x, _ in held) > 8 * HELD:
                     flush()
             if held:
@@ -205,10 +227,10 @@ def _expect(model: Model):
     return of
 
 
-def _round(model: Model, texts: DataFrame, overall: np.ndarray) -> Model:
+def _round(model: Model, encoded: DataFrame, overall: np.ndarray) -> Model:
     states = len(model.start)
     names = [f"s{k}" for k in range(states)]
-    sums = texts.mapInArrow(_expect(model), ", ".join(["symbol int", *(f"{n} double" for n in names)])).groupBy("symbol").agg(*(F.sum(n).alias(n) for n in names))
+    sums = encoded.mapInArrow(_expect(model), ", ".join(["symbol int", *(f"{n} double" for n in names)])).groupBy("symbol").agg(*(F.sum(n).alias(n) for n in names))
     found = np.zeros((1 + states + len(overall), states))
     for row in sums.collect():  # a row for each symbol
         found[row[0] + 1 + states] = row[1:]
@@ -284,16 +306,10 @@ def train(texts: DataFrame, states: int = STATES, iterations: int = ITERATIONS)
     noise = (stream(len(overall) * states, 21) >> U(11)).astype(np.float64).reshape(-1, states) / 2.0**53
     emit = overall[:, None] * np.exp(noise)
     model = Model(own, np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(axis=0))
-    n_texts = int(c[np.flatnonzero(h == END)[0]]) if END in h else 0
-    if n_texts:
-        drawn = texts.where(f"pmod(xxhash64(doc_id), {n_texts}) < {SAMPLE}").select("text").limit(4 * SAMPLE).toArrow()
-        seen = [(model.symbols(x, g), first) for column in drawn.column("text").chunks for _, _, x, g, first in tokens(column)]
-        if seen:
-            symbols, first = np.concatenate([x for x, _ in seen]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in seen]))])
-            for _ in range(START_ITERATIONS):
-                model = _estimate(model, expected_counts(model, symbols, first), overall)
+    if top and iterations:
+        encoded = materialise(texts.mapInArrow(_encode(model), "symbols binary"), "symbols")
         for _ in range(iterations):
-            model = _round(model, texts, overall)
+            model = _round(model, encoded, overall)
     by = np.argsort(h)
     return model, counts, {"known": h[by], "counts": c[by], "share": np.log10(in_class + 0.5 * (kinds + 1)), "base": float(np.log10(total + 0.5 * (distinct + 1))), "train_tokens": int(total)}
 

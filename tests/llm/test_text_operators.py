@@ -339,6 +339,22 @@ def test_language_model_probabilities_add_up(spark, docs):
             assert np.isclose(sum(c + 0.5 for c in inside) + 0.5, total)
 
 
+def test_language_model_learns_from_all_texts_in_every_round(spark):
+    """From the noise start, each round is one of Baum-Welch over all texts, more of them than any sample would hold."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["a b c d", "w x y z"][i % 2].split()) for _ in range(rng.randint(1, 6))), "s") for i in range(2000)]
+    data = table(spark, rows)
+    begin, _, _ = hmm_lm.train(data, states=2, iterations=0)
+    assert np.allclose(begin.move, [[0.95, 0.05], [0.05, 0.95]])
+    (_, _, h, g, first), *more = hmm_lm.tokens(pa.array([t for _, t, _ in rows]))
+    symbols, want = begin.symbols(h, g), begin
+    overall = np.bincount(symbols, minlength=len(begin.emit)) + 0.5
+    for _ in range(3):
+        want = hmm_lm._estimate(want, hmm_lm.expected_counts(want, symbols, first), overall / overall.sum())
+    got, _, _ = hmm_lm.train(data, states=2, iterations=3)
+    assert not more and np.allclose(got.move, want.move) and np.allclose(got.emit, want.emit) and np.allclose(got.start, want.start)
+
+
 def nearest_by_brute_force(vectors, asked, k):
     out = {}
     for q in asked:
