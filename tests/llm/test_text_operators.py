@@ -230,6 +230,18 @@ def test_mixing(docs, empty):
     assert mixing.interleave(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+@pytest.mark.parametrize("weights", [{"a": 1 / 3, "b": 1 / 3, "c": 1 / 3, "z": 0.0}, {"a": 0.9, "b": 0.0999, "c": 0.0001, "z": 0.0}])
+def test_mixing_keeps_to_the_given_weights(spark, weights):
+    rows = [(i, "t", s) for s, n in (("a", 4000), ("b", 4000), ("c", 3), ("z", 20)) for i in range(n)]
+    plan = sorted(mixing.interleave(table(spark, rows), weights=weights, block=1).collect(), key=lambda r: r.slot)
+    assert len(plan) == len(rows) == len({r.slot for r in plan}) and {r.source for r in plan[-20:]} == {"z"}
+    left, n, at = Counter(r.source for r in plan), Counter(), {r.slot: r.source for r in plan}
+    for slot in range(max(at) + 1):
+        n[at.get(slot)] += 1
+        assert all(abs(n[s] - weights[s] / sum(weights.values()) * (slot + 1)) < 1 + 1e-6 for s in "abc" if n[s] < left[s])
+        assert not n["z"] or all(n[s] == left[s] for s in "abc")
+
+
 def test_licences(spark, docs, empty):
     mit = dict((t, i) for i, t in license_scan.KNOWN)
     body = next(t for t in mit if t.startswith("MIT License"))
