@@ -2,11 +2,12 @@
 
 Words are stripped of punctuation at their ends and put in lower case (A-Z); then numbers, units after numbers and names
 (capitalised words that do not begin a sentence) become the typed placeholders of a template. Windows of WINDOW template
-words of all benchmark items are indexed; the windows of every document are looked up by hash and hash-joined with the
+words of all benchmark items are indexed, and beside them the windows of the words as they stand (in lower case) wherever a
+placeholder would be put in; the windows of every document, of both kinds, are looked up by hash and hash-joined with the
 items'. Windows of one document and item that lie on one diagonal are one alignment. An alignment counts if its slots are
-consistent: each slot value of the item stands for one value of the document throughout, and different ones for different
-ones, as in a question that was given new parameters (or none). A document is contaminated by an item if an alignment
-covers LEAST of the item's words (or all, of a shorter item), windows with more placeholders than words aside.
+consistent: each slot value of the item stands for one value of the document throughout, as in a question that was given new
+parameters (or none); two different values may become equal. A document is contaminated by an item if an alignment covers
+LEAST of the item's words (or all, of a shorter item). A window with more placeholders than words counts only as it stands.
 
 Scale. The document side is one pass without a shuffle: a task tests each window against the sorted hashes of the
 benchmark's windows, and only hits go on. The hashes are sent to the tasks in blocks of at most BLOCK_HASHES, so a
@@ -52,13 +53,13 @@ _NUMBER_WORDS, _UNITS = _hashes(NUMBER_WORDS), _hashes(UNITS)
 
 
 class Template:
-    """first: bounds of each text's template words; word: their hashes, placeholders put in; slot: hash of what a placeholder stands for, else 0."""
+    """first: bounds of each text's template words; word: their hashes, placeholders put in; plain: those of the words as they stand; slot: hash of what a placeholder stands for, else 0."""
 
     def __init__(self, buf: np.ndarray, bounds: np.ndarray) -> None:
         words = Words(buf, bounds, lower=True, values=False)
         a, b = words.start.copy(), words.end.copy()
         if not len(buf):
-            self.first, self.word, self.slot = np.zeros(len(bounds), np.int64), np.zeros(0, U), np.zeros(0, U)
+            self.first, self.word, self.plain, self.slot = np.zeros(len(bounds), np.int64), *(np.zeros(0, U) for _ in range(3))
             return
         last = buf[b - 1] if len(b) else np.zeros(0, np.uint8)
         begins = np.ones(len(a), bool)  # at a sentence's beginning
@@ -93,15 +94,19 @@ class Template:
         shouted = (b - a > 1) & np.where(at == 0xC3, upper(third, third * 0), upper(second, third))
         name = upper(at, second) & ~begins & ~shouted & ~number & ~unit
         held = number | unit | name
+        self.plain = h
         self.slot = np.where(held, h, U(0))
         self.word = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h)))
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and positions of the windows of n template words, of which half at least are words."""
+        """Hashes and positions of the windows of n template words, of which half at least are words, and of those of n
+        words as they stand in which a placeholder would be (without one the two are the same)."""
         h, at = grams(self.word, self.first, n)
         held = np.concatenate([[0], np.cumsum(self.slot != 0)])
-        good = 2 * (held[at + n] - held[at]) <= n
-        return h[good], at[good]
+        inside = held[at + n] - held[at]
+        good, some = 2 * inside <= n, inside > 0
+        plain, _ = grams(self.plain, self.first, n)
+        return np.concatenate([h[good], plain[some]]), np.concatenate([at[good], at[some]])
 
 
 def _lists(values: np.ndarray, at: np.ndarray, n: int) -> pa.Array:
@@ -152,7 +157,7 @@ def _hits(known: dict[int, np.ndarray]):
                         continue
                     doc = own[at]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(doc + i)), pa.array(np.full(len(at), n, np.int32)), pa.array((at - t.first[doc]).astype(np.int32)), signed(h), _lists(t.slot, at, n)],
+                        [batch.column("doc_id").take(pa.array(doc + i)), pa.array(np.full(len(at), n, np.int32)), pa.array((at - t.first[doc]).astype(np.int32)), signed(h), _lists(t.plain, at, n)],
                         ["doc_id", "n", "at", "h", "values"],
                     )
 
@@ -180,7 +185,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
         pairs.withColumn("pairs", F.expr(slot)).groupBy("doc_id", "item_id", (F.col("at") - F.col("pos")).alias("diagonal"))
         .agg(F.max("words").alias("item_words"), F.expr("size(array_distinct(flatten(collect_set(sequence(pos, pos + n - 1)))))").alias("matched"), F.min("at").alias("doc_start"), F.expr("array_distinct(flatten(collect_set(pairs)))").alias("pairs"))
     )
-    consistent = "size(pairs) = size(array_distinct(transform(pairs, s -> s.slots))) and size(pairs) = size(array_distinct(transform(pairs, s -> s.values)))"
+    consistent = "size(pairs) = size(array_distinct(transform(pairs, s -> s.slots)))"
     good = alignments.where(f"matched >= least(item_words, {least}) and {consistent}").withColumn("n_slots", F.expr("size(pairs)"))
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("doc_start")).alias("before"), "item_words", "n_slots")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.item_words").alias("item_words"), F.col("b.matched").alias("matched"), (-F.col("b.before")).alias("doc_start"), F.col("b.n_slots").alias("n_slots"))

@@ -201,6 +201,14 @@ def test_contamination(spark, docs, empty):
     assert decontaminate.contamination(empty, bench).count() == 0 and decontaminate.contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_contamination_by_numbers_and_names(spark):
+    """Exact copies whose windows are mostly placeholders or have lost their capitals, and different values that become equal."""
+    items = [(1, "12 5 7 9 33 48 51 60 72 81 90 102 17 4"), (2, "He told Tom that Ann and Bob saw Kim near Rome with Max and Eve in Bonn"), (3, "there were at first 12 red apples and 5 ripe pears in the old basket by the door")]
+    rows = [(1, "see " + items[0][1] + " there", "a"), (2, items[1][1].lower(), "a"), (3, items[2][1].replace("12", "7").replace("5", "7"), "a"), (4, items[0][1].replace("51", "52").replace("7 9", "7 8"), "a"), (5, items[2][1].replace("red", "green").replace("ripe", "soft").replace("old", "new"), "a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contamination(table(spark, rows), bench).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_contamination_in_blocks(spark, monkeypatch):
     """More windows than go to the tasks at once: the same result, in several passes."""
     rng = random.Random(9)
