@@ -5,8 +5,9 @@ neither letter nor digit becomes one space, at the ends none. The SHA-256 digest
 the digests of known licences and notices, made the same way. A document's whole text is looked up, and each of its lines
 as a text of its own, as notices stand alone in a line.
 
-A text can be canonically equal to a known one only if it holds one of MARKS as it stands, whatever its case; that test
-comes first, so that few texts are ever rewritten. The known table has a fixed number of rows. No shuffle at all.
+A text can be canonically equal to a known one only if it holds one of MARKS as it stands, whatever its case: each known text
+has one of them within a word, and canonical words stand unbroken in the text. That test comes first, so that few texts are
+ever rewritten. The known table has a fixed number of rows. No shuffle at all.
 
 Defined cases: a null or empty text matches nothing; a line that repeats is reported each time; a text of one line is
 reported as text and as line; rows that repeat are reported each; a null doc_id is reported as such; other columns are ignored; an empty table
@@ -71,7 +72,7 @@ KNOWN = [
 ]
 # Spellings that count as one.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("sublicence", "sublicense"), ("sublicenced", "sublicensed"), ("sub license", "sublicense"), ("sub licensed", "sublicensed"), ("non commercial", "noncommercial"), ("copyright owner", "copyright holder"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("whilst", "while"), ("wilful", "willful"), ("https", "http"), ("version 2 0", "version 2"), ("v 2 0", "version 2"), ("v2 0", "version 2"), ("version 3 0", "version 3")]
-MARKS = ["licen", "permission", "redistribution", "public domain", "public license", "rights reserved"]
+MARKS = ["licen", "permission", "redistribution", "reserved", "domain"]
 #: A line that is a statement of copyright and nothing else. It may end in "all rights reserved"; that line by itself stays.
 COPYRIGHT = r"(?m)^[^a-z0-9©\n]*(?:copyright|\(c\)|©)[^a-z\n]*(?:\(c\)|©|[0-9])[^\n]*$"
 

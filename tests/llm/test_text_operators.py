@@ -261,6 +261,15 @@ def test_licences(spark, docs, empty):
     assert "Python" not in license_scan.scan(docs)._jdf.queryExecution().toString()
 
 
+def test_licences_with_any_punctuation(spark):
+    """What canonicalisation takes for a space may stand anywhere between a known text's words."""
+    rows = [(1, "All rights\nreserved.", "a"), (2, "All rights-reserved", "a"), (3, "This work is in the public-domain.", "a"), (4, "x\nAll  rights   reserved\ny", "a")]
+    got = {(r.doc_id, r.scope, r.license_id) for r in license_scan.scan(table(spark, rows)).collect()}
+    assert {(1, "text", "LicenseRef-all-rights-reserved"), (2, "text", "LicenseRef-all-rights-reserved"), (3, "line", "LicenseRef-public-domain"), (4, "line", "LicenseRef-all-rights-reserved")} <= got
+    for _, known in license_scan.KNOWN:
+        assert any(m in word for m in license_scan.MARKS for word in re.findall(r"\w+", known.lower()))
+
+
 def test_html():
     page = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body><div id="wrap"><div class="menu"><a href=x>Home</a> <a href=y>About</a></div>
 <div class="post-content"><h2>Head &amp; tail</h2><p>First, para with, some commas and a length that goes on for a while, yes&nbsp;it does.<p>Second <b>para</b>,
