@@ -24,10 +24,10 @@ def answers(questions: DataFrame, chunks: DataFrame, corpus: DataFrame, top_n: i
     asked = guarded.where("not refused").select("id", "question")
     rules = Q.rule_analysis(asked, corpus).join(asked, "id")
     words = rules.select(F.col("id").alias("qid"), F.col("question").alias("text"))
-    ranked = R.bm25(chunks.select("id", "text"), words, 20 * top_n)
+    scores = R.bm25_scores(chunks.select("id", "text"), words)  # filtered before any ranking
     meta = chunks.select("id", "company_code", F.col(year_column).alias("report_year"))
     filters = rules.select(F.col("id").alias("qid"), "codes", Q.report_years(F.col("years")).alias("filed"))
-    scored = ranked.join(meta, "id").join(filters, "qid").where((F.size("codes") == 0) | F.array_contains("codes", F.col("company_code")))
+    scored = scores.join(meta, "id").join(filters, "qid").where((F.size("codes") == 0) | F.array_contains("codes", F.col("company_code")))
     narrow = scored.where((F.size("filed") == 0) | F.array_contains("filed", F.col("report_year")))
     again = lambda df: R.top(df.select("qid", "id", "score"), "qid", F.round("score", 6), top_n)
     first, second = again(narrow), again(scored)

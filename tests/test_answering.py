@@ -24,6 +24,15 @@ def test_years_are_dropped_once_if_nothing_is_found(spark):
     assert row.verdict == "retry_generate" and row.citations == [1]
 
 
+def test_filters_come_before_the_ranking(spark):
+    """Any number of better chunks of other companies and years do not push out a question's own."""
+    corpus = spark.createDataFrame([("600519", "贵州茅台", 2025), ("300750", "宁德时代", 2025)], "code string, name string, year int")
+    others = [(k, "2024年 revenue", "300750", 2025) for k in range(100, 140)] + [(k, "2024年 revenue", "600519", 2020) for k in range(200, 240)] + [(k, "something else", "300750", 2025) for k in range(300, 500)]
+    chunks = spark.createDataFrame([(1, "revenue among many other words of a longer text", "600519", 2025), *others], "id long, text string, company_code string, report_year int")
+    row = answering.answers(spark.createDataFrame([(1, "贵州茅台2024年 revenue")], "id int, question string"), chunks, corpus, top_n=1).first()
+    assert (row.verdict, row.citations) == ("generate", [1])
+
+
 def scripted(*turns):
     left = list(turns)
     return lambda messages, may_call: left.pop(0) if left else answering.Turn("done")
