@@ -2,7 +2,8 @@
 
 The html is read into a tree with HTML's own rules for closing (a p ends at the next block, a li at the next li, ...), so
 unclosed and crossed tags do no harm. Scripts, styles, comments, forms, navigation, headers, footers, asides, dialogs and
-hidden elements are left out as they come, and so are elements whose class, id or role names one of these kinds.
+hidden elements are left out as they come, and so are elements that have one of these kinds as a whole word of class, id or role.
+A kind that is only part of a word (no-sidebar, section-header) halves the element's score and leaves nothing out.
 
 Scoring. Each paragraph (a block that has text of its own) passes points to its ancestors: 1, and 1 for each 100
 characters (3 at most), and 1 for each comma, discounted by its link density; its parent gets all of them, the
@@ -11,8 +12,8 @@ best container is kept with every block below it, and those of its siblings that
 themselves paragraphs with few links and some length. article and main elements start with a bonus.
 
 Text. A block's text has its character references decoded and its white space turned into one space, trimmed; blocks are
-joined in page order by one newline. Blocks of the kept containers that are nothing but links of some number (menus inside
-the article) go.
+joined in page order by one newline. Lists of links in the kept containers stay. Where a word begins with a kind (ad-box), the
+element goes if it scores less than a fifth of the best container.
 
 Defined cases: a null or empty html gives the empty text; text outside any element is a paragraph of the body; a page without any
 paragraph gives the empty text; a tag that never ends is text until the end of the page; other columns are ignored, rows
@@ -41,24 +42,25 @@ BLOCK = frozenset(
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 BARRIER = frozenset("table ul ol dl menu".split())
 #: Kinds of elements that are not the article, as they are named in class, id or role.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|combx|comments?|commentlist|reply|replies|respond|disqus|community|cookies?|consent|gdpr|notices?|footer|footnav|masthead|header|topbar|navbar|nav|navigation|menu|sidebar|side|rail|aside|widget|related|recommend\w*|more-?stories|share|sharing|social|sponsor\w*|promo\w*|popup|modal|overlay|newsletter|subscribe|signup|login|pager|pagination|rss|shoutbox|skip|tags?|toolbar|contentinfo|complementary|dialog|search|alert|copyright|legal|hidden)(?:$|[\s_-])",
-    re.I,
+_KINDS = (
+    r"(?:ads?|advert\w*|adsense|banner|breadcrumbs?|combx|comments?|commentlist|reply|replies|respond|disqus|community|cookies?|consent|gdpr|notices?|footer|footnav|masthead|header|topbar|navbar|nav|navigation|menu|sidebar|side|rail|aside|widget|related|recommend\w*|more-?stories|share|sharing|social|sponsor\w*|promo\w*|popup|modal|overlay|newsletter|subscribe|signup|login|pager|pagination|rss|shoutbox|skip|tags?|toolbar|contentinfo|complementary|dialog|search|alert|copyright|legal|hidden)"
 )
+BOILERPLATE = re.compile(_KINDS, re.I)
+_PART = re.compile(rf"(?:^|[_-]){_KINDS}(?:$|[_-])", re.I)
 #: Names that mark the article; they outweigh the list above.
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|main|content|body|text)(?:$|[\s_-])", re.I)
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_LABEL = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "order", "out", "link", "points", "chars", "links", "children", "text", "linked")
+    __slots__ = ("tag", "parent", "order", "out", "link", "points", "chars", "links", "children", "named")
 
     def __init__(self, tag: str, parent: Node | None, out: bool, link: bool) -> None:
         self.tag, self.parent, self.out, self.link = tag, parent, out, link
-        self.points, self.chars, self.links = 0.0, 0, 0
+        self.points, self.chars, self.links, self.named = 0.0, 0, 0, 0
         self.children: list[Node] = []
 
 
@@ -76,18 +78,31 @@ def _left_out(tag: str, attributes: str, parent: Node) -> bool:
         return True
     if not attributes or tag in ("body", "html", "article", "main"):
         return False
-    for name, *values in _LABEL.findall(attributes):
+    for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), values[0] or values[1] or values[2]
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
-        elif name != "aria-hidden" and BOILERPLATE.search(value) and not (name != "role" and ARTICLE.search(value)):
+        elif name in ("class", "id", "role") and any(map(BOILERPLATE.fullmatch, value.split())) and not (name != "role" and ARTICLE.search(value)):
             return True
     return False
 
 
+def _named(attributes: str) -> int:
+    """2 if a word of class or id begins with a kind that is left out, 1 if it has one elsewhere, else 0."""
+    found = 0
+    for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
+        value = values[0] or values[1] or values[2]
+        if name.lower() in ("class", "id") and not ARTICLE.search(value):
+            for word in value.split():
+                m = _PART.search(word)
+                if m:
+                    found = max(found, 1 if m.start() or m[0][0] in "_-" else 2)
+    return found
+
+
 def _inside(node: Node | None, tag: str) -> bool:
     while node is not None:
         if node.tag == tag:
@@ -163,6 +178,8 @@ def parse(page: str) -> tuple[Node, list[Block]]:
             del stack[1:]
         parent = stack[-1]
         node = Node(tag, parent, _left_out(tag, attributes, parent), parent.link or tag == "a")
+        if not node.out and tag not in ("body", "html", "article", "main"):
+            node.named = _named(attributes)
         parent.children.append(node)
         if tag in RAW:
             close = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
@@ -198,7 +215,7 @@ def extract(page: str | None) -> str:
             node = node.parent
     if not scored:
         return ""
-    value = lambda n: (n.points + 25 * (n.tag in ("article", "main")) * (n.chars > 0)) * (1 - _density(n))
+    value = lambda n: (n.points + 25 * (n.tag in ("article", "main")) * (n.chars > 0)) * (1 - _density(n)) * (0.5 if n.named else 1)
     best = max(scored.values(), key=value)
     least = value(best) / 5
     keep = {id(best)}
@@ -210,17 +227,12 @@ def extract(page: str | None) -> str:
                 keep.add(id(other))
     out = []
     for b in blocks:
-        node = b.owner
+        node, small = b.owner, False
         while node is not None and id(node) not in keep:
+            small |= node.named == 2 and value(node) < least
             node = node.parent
-        if node is None:
-            continue
-        group = b.owner
-        while group.parent is not None and group.tag not in ("ul", "ol", "table", "div", "section"):
-            group = group.parent
-        if group is not best and group.tag in ("ul", "ol", "table", "div", "section") and len(group.children) > 2 and _density(group) > 0.7:
-            continue
-        out.append(b.text)
+        if node is not None and not small:
+            out.append(b.text)
     return "\n".join(out)
 
 

@@ -282,6 +282,14 @@ def test_html():
     assert html_extract.extract("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_html_keeps_what_names_only_resemble():
+    text = "A paragraph with some commas, and text, that goes on for quite a while, as an article's would do here."
+    for name in ("layout no-sidebar", "rounded overflow-hidden"):
+        assert html_extract.extract(f"<body><div class='{name}'><p>{text}</p><p>{text}</p></div></body>") == f"{text}\n{text}"
+    page = f"<article><div class='section-header'><h2>Head</h2></div><p title='The hidden cost'>{text}</p><p data-id='comments'>{text}</p><p hidden>no</p><ul><li><a href=a>Ref one</a><li><a href=b>Ref two</a><li><a href=c>Ref three</a></ul><nav><a href=d>Home</a></nav></article>"
+    assert html_extract.extract(page).split("\n") == ["Head", text, text, "Ref one", "Ref two", "Ref three"]
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "x"), (2, None, None, "x"), (None, "v", "", "x"), (1, "u", "<p>a</p>", "x")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, html_extract.main_text(pages).collect()), key=str) == sorted([(1, "u", "a"), (1, "u", "a"), (2, None, ""), (None, "v", "")], key=str)
