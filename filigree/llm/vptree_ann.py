@@ -6,7 +6,8 @@ and q -> (q, 0) give |x' - q'|^2 = R^2 + |q|^2 - 2 <x, q>, so the nearest in tha
 A shard's tree splits its points at the median distance from a vantage point (the point farthest from the one before),
 down to leaves. For a query, every vantage distance on the way bounds the distance to all points of a leaf from below (the
 triangle inequality). Leaves are visited in the order of their bounds; a leaf is pruned when its bound is larger than the
-k-th distance found so far divided by `relax`: relax 1 is exact, larger factors visit fewer leaves. Queries of a block go
+k-th distance found so far divided by `relax`: relax 1 is exact, larger factors visit fewer leaves. Distances only prune, with
+room for what rounding does to them at R's scale; candidates are ranked by the products themselves. Queries of a block go
 together, so distances are matrix products. The final scores are sums of double products over the original vectors.
 
 Shards and query blocks make a grid whose cells are tasks; a cell holds one shard and one block, both of bounded expected
@@ -63,24 +64,30 @@ class VPTree:
                 np.maximum(low[:, leaf], np.maximum(inner - d[:, n], d[:, n] - outer), out=low[:, leaf])
         return low
 
-    def search(self, queries: np.ndarray, k: int, relax: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """Point numbers and distances [query, k], nearest first; -1 and infinity where there are fewer."""
-        q, slack = len(queries), 1e-6
+    def search(self, queries: np.ndarray, k: int, relax: float = 1.0, radius: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Point numbers and distances [query, k], nearest first; -1 and infinity where there are fewer. With a radius, points and
+        queries are lifted by it: ranked by their products (given negated), which distances of that scale would round away."""
+        q = len(queries)
         best, dist = np.full((q, k), -1), np.full((q, k), np.inf)
         if not len(self.leaves):
             return best, dist
         low = self.bounds(queries)
         order = np.argsort(low, axis=1, kind="stable")
         square = (queries**2).sum(axis=1)
+        # what rounding may do to a distance, as its square is a difference
+        size = np.sqrt(square) + (radius if radius is not None else np.linalg.norm(self.points, axis=1).max())
+        slack = 4 * np.sqrt(queries.shape[1] * np.finfo(float).eps) * size
         for turn in range(len(self.leaves)):  # the turn-th nearest leaf of each query
             leaf = order[:, turn]
-            live = np.flatnonzero(low[np.arange(q), leaf] <= dist[:, -1] / relax + slack)
+            last = dist[:, -1] if radius is None else np.sqrt(np.maximum(radius**2 + square + 2 * dist[:, -1], 0))
+            live = np.flatnonzero(~(low[np.arange(q), leaf] > last / relax + slack))
             if not len(live):
                 break
             for own in np.unique(leaf[live]):
                 rows, ids = live[leaf[live] == own], self.leaves[own]
                 p = self.points[ids]
-                d = np.sqrt(np.maximum(square[rows][:, None] + (p**2).sum(axis=1) - 2 * queries[rows] @ p.T, 0))
+                product = queries[rows] @ p.T
+                d = np.sqrt(np.maximum(square[rows][:, None] + (p**2).sum(axis=1) - 2 * product, 0)) if radius is None else -product
                 d, ids = np.hstack([dist[rows], d]), np.hstack([best[rows], np.broadcast_to(ids, (len(rows), len(ids)))])
                 take = np.argpartition(d, k - 1, axis=1)[:, :k]
                 d, ids = np.take_along_axis(d, take, 1), np.take_along_axis(ids, take, 1)
@@ -121,13 +128,13 @@ def _cell(dim: int, radius: float, k: int, relax: float):
         for a in range(0, len(queries), 1024):
             q = queries[a : a + 1024]
             # one more than k, as a query's own vector may be among them; a few for ties within rounding
-            near, _ = tree.search(lift(q, np.zeros(len(q))), min(k + 9, max(1, len(distinct))), relax)
+            near, _ = tree.search(lift(q, np.zeros(len(q))), min(k + 9, max(1, len(distinct))), relax, radius)
             for i, found in enumerate(near):
                 found = found[found >= 0]
                 score = products(distinct[found], np.broadcast_to(q[i], (len(found), dim)))
                 if relax == 1 and len(found) > k and score[k - 1] - score[-1] <= 1e-9 * (1 + abs(score[0])):  # ties beyond those found
                     found, score = np.arange(len(distinct)), products(distinct, np.broadcast_to(q[i], distinct.shape))
-                    tied = score >= np.partition(score, -k)[-k]
+                    tied = score >= np.partition(score, -k - 1)[-k - 1]  # its own vector may be among them
                     found, score = found[tied], score[tied]
                 rows, values = [], []
                 for g, s in zip(found, score):

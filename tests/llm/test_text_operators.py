@@ -416,6 +416,17 @@ def test_search_is_exact_with_ties_and_bad_vectors(spark):
     assert vptree_ann.search(df.limit(0), df.limit(0)).count() == 0 and vptree_ann.search(df.where("id < 3"), df.where("id = 0")).count() == len([i for i in (1, 2) if i in vectors])
 
 
+def test_search_is_exact_beside_a_very_long_vector(spark):
+    x = np.random.default_rng(5).normal(size=(1200, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= 1e8
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    found = {}
+    for r in sorted(vptree_ann.search(df, df.where("id % 100 = 0"), k=20).collect(), key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found == {q: [i for i in np.lexsort((np.arange(1200), -(x @ x[q]))).tolist() if i != q][:20] for q in range(0, 1200, 100)}
+
+
 def test_tree_prunes_and_relaxes():
     rng = np.random.default_rng(2)
     points = np.concatenate([rng.normal(c, 0.05, (300, 8)) for c in rng.normal(0, 1, (12, 8))])
