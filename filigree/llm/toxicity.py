@@ -186,7 +186,7 @@ class Grammar:
 
 def plain_words(text: str | None) -> set[bytes]:
     """The different words of a text, in lower case, as bytes."""
-    return set(_MARKS.sub(" ", text or "").encode().translate(_SPLIT).split())
+    return set(_MARKS.sub(" ", (text or "").lower()).encode().translate(_SPLIT).split())
 
 
 class _Scan:

@@ -306,6 +306,13 @@ def test_toxicity_grammar():
     assert [c for c, _ in g.clauses("Fine. You moron! Fine.")] == ["You moron"]
 
 
+def test_toxicity_scan_sees_capitals_outside_ascii(spark):
+    g = toxicity.Grammar(words={"réeux": 5.0})
+    assert toxicity.plain_words("RÉEUX Töten TÖTEN") == {w.encode() for w in ("réeux", "töten")}
+    got = {r.doc_id: r.clauses for r in toxicity.score(table(spark, [(1, "ICH WERDE DICH TÖTEN", "s"), (2, "QUEL RÉEUX", "s")]), g).collect()}
+    assert [c.clause for c in got[1]] == ["ICH WERDE DICH TÖTEN"] and [c.clause for c in got[2]] == ["QUEL RÉEUX"]
+
+
 def test_toxicity_learns_words_and_stems(spark, docs, empty):
     rng = random.Random(4)
     rows, labels = [], []
