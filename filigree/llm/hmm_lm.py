@@ -9,7 +9,8 @@ class's training tokens, add-half smoothed, with one place for unseen tokens, as
 
 so the probability of a text is exact, and the state tables are bounded however large the vocabulary grows.
 
-Training. From a start of fixed noise, ITERATIONS rounds of Baum-Welch go over every training text. The texts are written as
+Training. From a start of fixed noise, ITERATIONS rounds of Baum-Welch go over every training text, in single precision (a batch that
+needs more is done again in double; likelihoods always are). The texts are written as
 symbols once, and each round reads those: each task adds up its expected counts, one shuffle sums them over the partitions
 by symbol, and the driver gets SYMBOLS + CLASSES rows.
 
@@ -40,6 +41,8 @@ RUNGS = 64
 ITERATIONS = 14
 #: Tokens whose forward variables are held at once.
 HELD = 400_000
+#: Steps of the recursions between two scalings, in double precision; half as many in single.
+RESCALE = 8
 END = U(0x454E44)
 #: The smoothing of a state's emissions towards all tokens' distribution, and of a transition, in tokens.
 EMISSION_PRIOR, TRANSITION_PRIOR = 20.0, 1.0
@@ -107,8 +110,10 @@ class _Batch:
         self.at = np.concatenate([[0], np.cumsum(self.width)])
         rank = np.repeat(np.arange(len(chosen)), size)
         time = np.arange(len(rank)) - np.repeat(np.cumsum(size) - size, size)
-        self.symbol = np.empty(len(rank), np.int64)
-        self.symbol[self.at[time] + rank] = symbols[np.repeat(first[:-1][chosen], size) + time]
+        place = self.at[time] + rank
+        self.symbol, self.rank = np.empty(len(rank), np.int64), np.empty(len(rank), np.int32)
+        self.symbol[place] = symbols[np.repeat(first[:-1][chosen], size) + time]
+        self.rank[place] = rank
 
 
 def _batches(symbols: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, _Batch]]:
@@ -122,15 +127,36 @@ def _batches(symbols: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarra
         k = e
 
 
+def _relative(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """[symbol, state]: each symbol's emissions as shares of the largest, and log10 of that. With these, RESCALE steps cannot underflow."""
+    most = model.emit.max(axis=1)
+    return model.emit / most[:, None], np.log10(most)
+
+
 def log10_likelihoods(model: Model, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(first) - 1)
+    """Of each sequence, by the scaled forward recursion; forward variables are scaled at every RESCALE-th step."""
+    out, one = np.zeros(len(first) - 1), np.ones(len(model.start))
+    emit, most = _relative(model)
     for chosen, b in _batches(symbols, first):
-        total, alpha = np.zeros(len(chosen)), np.broadcast_to(model.start, (len(chosen), len(model.start)))
+        seen = emit.take(b.symbol, axis=0)
+        total = np.bincount(b.rank, most[b.symbol], len(chosen))
+        alpha, spare = np.empty((len(chosen), len(one))), np.empty((len(chosen), len(one)))
+        alpha[:] = model.start
+        o, before = 0, len(chosen)
         for t, n in enumerate(b.width.tolist()):
-            alpha = (alpha[:n] @ model.move if t else alpha[:n]) * model.emit[b.symbol[b.at[t] : b.at[t] + n]]
-            scale = alpha.sum(axis=1)
-            alpha /= scale[:, None]
-            total[:n] += np.log10(scale)
+            if n < before:  # these have ended
+                total[n:before] += np.log10(alpha[n:before] @ one)
+                before = n
+            if t:
+                np.dot(alpha[:n], model.move, out=spare[:n])
+                alpha, spare = spare, alpha
+            alpha[:n] *= seen[o : o + n]
+            if t % RESCALE == RESCALE - 1:
+                scale = alpha[:n] @ one
+                alpha[:n] /= scale[:, None]
+                total[:n] += np.log10(scale)
+            o += n
+        total[:before] += np.log10(alpha[:before] @ one)
         out[chosen] = total
     return out
 
@@ -138,33 +164,62 @@ def log10_likelihoods(model: Model, symbols: np.ndarray, first: np.ndarray) -> n
 def expected_counts(model: Model, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of starts [state], moves [state, state] and emissions [symbol, state], by forward-backward."""
     k = len(model.start)
-    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape)
+    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(model.emit)))
+    relative = _relative(model)[0]
+    room: dict[type, np.ndarray] = {}  # one set of arrays for all batches
     for _, b in _batches(symbols, first):
-        seen = model.emit[b.symbol]
-        alpha, scale = np.empty_like(seen), np.empty(len(seen))
-        for t, n in enumerate(b.width.tolist()):
-            o = b.at[t]
-            a = (alpha[b.at[t - 1] : b.at[t - 1] + n] @ model.move if t else model.start) * seen[o : o + n]
-            s = a.sum(axis=1)
-            alpha[o : o + n] = a / s[:, None]
-            scale[o : o + n] = s
-        seen /= scale[:, None]
-        beta = np.ones((0, k))
-        gamma = alpha
-        for t in range(len(b.width) - 1, -1, -1):
-            o, n = b.at[t], int(b.width[t])
-            if t + 1 < len(b.width):
-                m = int(b.width[t + 1])
-                ahead = seen[b.at[t + 1] : b.at[t + 1] + m] * beta
-                move += alpha[o : o + m].T @ ahead
-                beta = np.concatenate([ahead @ model.move.T, np.ones((n - m, k))])
-            else:
-                beta = np.ones((n, k))
-            gamma[o : o + n] *= beta  # alpha of this time is not needed again
-        start += gamma[: b.width[0]].sum(axis=0)
+        # half the memory traffic; in full precision again what single precision cannot hold
+        for kind in (np.float32, np.float64):
+            if kind not in room or room[kind].shape[1] < len(b.symbol):
+                room[kind] = np.empty((4, len(b.symbol), k), kind)
+            found = _forward_backward(model, relative.astype(kind, copy=False), b, room[kind][:, : len(b.symbol)])
+            if found is not None:
+                break
+        else:
+            raise FloatingPointError("forward and backward variables without any common state")
+        moves, part = found
+        move += moves
+        start += part[:, : b.width[0]].sum(axis=1, dtype=float)
         for state in range(k):
-            emit[:, state] += np.bincount(b.symbol, gamma[:, state], len(emit))
-    return start, move * model.move, emit
+            emit[state] += np.bincount(b.symbol, part[state], emit.shape[1])
+    return start, move * model.move, np.ascontiguousarray(emit.T)
+
+
+def _forward_backward(model: Model, relative: np.ndarray, b: _Batch, room: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Sums over pairs of neighbours [state, state], without the transition itself, and shares [state, place]; None where numbers ran out.
+
+    Forward and backward variables may have any scale at a place, as long as it is one for all states: what they are
+    divided by in the end is the sum of their products there."""
+    k, kind = len(model.start), room.dtype
+    one, step = np.ones(k, kind), model.move.astype(kind)
+    back, begin, every = np.ascontiguousarray(step.T), model.start.astype(kind), RESCALE // (8 // kind.itemsize)
+    seen, alpha, ahead, beta = room
+    relative.take(b.symbol, axis=0, out=seen, mode="clip")
+    ahead[:], beta[:] = 0, 1
+    at, width = b.at.tolist(), b.width.tolist()
+    with np.errstate(all="ignore"):
+        for t, n in enumerate(width):
+            here = alpha[at[t] : at[t] + n]
+            if t:
+                np.dot(alpha[at[t - 1] : at[t - 1] + n], step, out=here)
+            else:
+                here[:] = begin
+            here *= seen[at[t] : at[t] + n]
+            if t % every == every - 1:
+                here /= (here @ one)[:, None]
+        for t in range(len(width) - 2, -1, -1):
+            m, after = width[t + 1], at[t + 1]
+            coming = ahead[at[t] : at[t] + m]
+            np.multiply(seen[after : after + m], beta[after : after + m], out=coming)
+            if t % every == every - 1:
+                coming /= (coming @ one)[:, None]
+            np.dot(coming, back, out=beta[at[t] : at[t] + m])
+        beta *= alpha
+        each = 1 / (beta @ one)
+    if not np.isfinite(each).all():
+        return None
+    alpha *= each[:, None]
+    return alpha.T @ ahead, np.multiply(beta.T, each, out=seen.reshape(k, -1))
 
 
 def _estimate(model: Model, counts: tuple[np.ndarray, np.ndarray, np.ndarray], overall: np.ndarray) -> Model:
