@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import fresh_path, materialise, shared_dir
 
-__all__ = ["fresh_path", "materialise", "shared_dir", "table"]
+__all__ = ["by_bytes", "fresh_path", "materialise", "shared_dir", "table"]
 
 BATCH_ROWS = 3000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -17,3 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about so many bytes of a text column, and so many rows, at most; a longer text is alone."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.cast(pc.binary_length(batch.column(column)), pa.int64()), 0)).to_pylist()
+    k, done = 0, 0
+    while k < batch.num_rows:
+        e = k + 1
+        while e < batch.num_rows and e - k < rows and ends[e] - done <= most:
+            e += 1
+        yield batch.slice(k, e - k)
+        k, done = e, ends[e - 1]
