@@ -1,10 +1,12 @@
 """Substring dedup by relative Lempel-Ziv parsing against all earlier documents.
 
-Every document is parsed against an index of reference blocks, runs of `block` words, that holds for each block the
-smallest doc_id in which it starts. The parse is greedy: where the block at a position has an earlier document, a
-factor begins, and it goes on for as long as the next block has one too; the factor ends with the last word of its last
-block. Factors of `block` words or more are duplicate spans, shorter matches have no block and are literals. A word is
-removed if and only if some block over it also starts in a document with a smaller doc_id.
+Every document is parsed against an index of reference blocks, runs of `block` words, that holds for each block its first
+place: the smallest doc_id in which it starts, and the first position there. The parse is greedy. Neighbouring blocks whose places
+in one reference are neighbours, too, are a match as long as they reach. From each position that factor is taken which, of
+the matches that cover the position, reaches furthest; words that no match covers are literals. A factor says where it stands
+and which words of which reference it repeats. A factor that goes on where the one before ends may be shorter than a block; at
+that boundary a block over both has been found, since matches are of whole blocks. Factors that touch are one duplicate
+span. A word is removed if and only if some block over it also starts in a document with a smaller doc_id.
 
 How it scales. Indexing every block of every document would shuffle a row for each word. Instead a document first shows
 its anchors: of each run of block - gram + 1 consecutive `gram`-word hashes the smallest, so that any block has an
@@ -17,7 +19,8 @@ document has whole is one factor at once. Texts are shuffled once, by document.
 A text that repeats itself shows each
 anchor and each block once, and finds the other places again when it is cut.
 
-Blocks are compared by 64-bit hashes of their word sequences.
+Blocks are equal if two independent 64-bit hashes of their word sequences are, and whole texts likewise; anchors only find
+candidates.
 
 Defined cases: a null or empty text has no words; rows with a null doc_id keep all their words; rows with the same
 doc_id are each other's equals (neither is earlier); other columns are ignored, whatever their names; an empty table
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, grams, signed, slices, window_min
+from .words import WORD_BASE_2, U, Words, grams, mix, signed, slices, window_min
 
 BLOCK, GRAM = 50, 16
 
@@ -71,13 +74,19 @@ def _anchors(block: int, gram: int):
     return of
 
 
+def _both(words: Words, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two hashes of all blocks, and their positions."""
+    h, at = grams(words.hash, words.first, block)
+    return h, grams(words.second(), words.first, block, WORD_BASE_2)[0] if len(h) else h, at
+
+
 def _blocks(block: int, gram: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shared = batch.column("shared")
             for i, j, buf, bounds in slices(batch.column("text")):
                 words = Words(buf, bounds, lower=False)
-                h, at = grams(words.hash, words.first, block)
+                h, h2, at = _both(words, block)
                 if not len(h):
                     continue
                 part = shared.slice(i, j - i)
@@ -87,84 +96,132 @@ def _blocks(block: int, gram: int):
                 place[g_at] = np.arange(len(g_at))
                 low = window_min(g, block - gram + 1)[place[at]]  # each block's own anchor
                 k = np.flatnonzero(np.isin(low, g[place[anchor]]))
-                k = k[_once(h[k], words.owners()[at[k]])]
+                k = k[_once(h[k] ^ mix(h2[k]), words.owners()[at[k]])]
                 doc = words.owners()[at[k]]
                 rows = pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(rows), batch.column("key").take(rows), pa.array((at[k] - words.first[doc]).astype(np.int32)), signed(h[k])],
-                    ["doc_id", "key", "pos", "h"],
+                    [batch.column("doc_id").take(rows), batch.column("key").take(rows), pa.array((at[k] - words.first[doc]).astype(np.int32)), signed(h[k]), signed(h2[k])],
+                    ["doc_id", "key", "pos", "h", "h2"],
                 )
 
     return of
 
 
+def matches(at: np.ndarray, doc: np.ndarray, ref: np.ndarray, block: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, reference document, reference start) of the longest runs of blocks at ascending positions whose places in one reference go
+    along."""
+    if not len(at):
+        return []
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (np.diff(doc) != 0) | (np.diff(ref) != 1)
+    k = np.flatnonzero(new)
+    return list(zip(at[k].tolist(), (at[np.append(k[1:], len(at)) - 1] + block).tolist(), doc[k].tolist(), ref[k].tolist()))
+
+
+def parse(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The greedy parse: from each position the match over it that reaches furthest. found is in order of start."""
+    factors, at, k, best = [], 0, 0, None
+    while True:
+        while k < len(found) and found[k][0] <= at:
+            if best is None or found[k][1] > best[1]:
+                best = found[k]
+            k += 1
+        if best is not None and best[1] > at:
+            start, end, doc, ref = best
+            begin = max(at, start)
+            factors.append((begin, end, doc, ref + begin - start))
+            at = end
+        elif k < len(found):
+            at = found[k][0]
+        else:
+            return factors
+
+
+_FACTOR = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())])
+
+
 def _cut(block: int):
-    """Joins each text's repeated blocks into factors and cuts these out."""
-    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    """Parses each text by its repeated blocks and cuts the spans out."""
+    span_type = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
-    def everywhere(buf: np.ndarray, bounds: np.ndarray, starts: pa.Array) -> list[np.ndarray]:
-        """For each text the positions of all blocks that equal one of those that start at `starts`."""
+    def everywhere(buf: np.ndarray, bounds: np.ndarray, starts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text the positions of all blocks that equal one of those in `starts`, with the places of these."""
         words = Words(buf, bounds, lower=False)
-        h, at = grams(words.hash, words.first, block)
+        h, h2, at = _both(words, block)
         owner = words.owners()[at] if len(at) else at
-        pair = h + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        one = mix(h ^ mix(h2)) + owner.astype(U) * U(0x9E3779B97F4A7C15)  # within a text
         place = np.zeros(len(words.hash), np.int64)
         place[at] = np.arange(len(at))
-        marked = np.asarray(starts.flatten(), np.int64) + np.repeat(words.first[:-1], np.asarray(starts.value_lengths().fill_null(0), np.int64))
-        found = np.flatnonzero(np.isin(pair, pair[place[marked]]))
-        edges = np.searchsorted(owner[found], np.arange(len(bounds)))
-        return [at[found[x:y]] - first for x, y, first in zip(edges, edges[1:], words.first)]
+        flat = starts.flatten()
+        marked = place[np.asarray(flat.field("pos"), np.int64) + np.repeat(words.first[:-1], np.asarray(starts.value_lengths().fill_null(0), np.int64))]
+        by = np.argsort(one[marked], kind="stable")
+        marked, doc, ref = marked[by], np.asarray(flat.field("ref_doc"), np.int64)[by], np.asarray(flat.field("ref_pos"), np.int64)[by]
+        m = np.minimum(np.searchsorted(one[marked], one), len(marked) - 1)
+        k = np.flatnonzero((h[marked[m]] == h) & (h2[marked[m]] == h2) & (owner[marked[m]] == owner))
+        edges = np.searchsorted(owner[k], np.arange(len(bounds)))
+        return [(at[k[x:y]] - first, doc[m[k[x:y]]], ref[m[k[x:y]]]) for x, y, first in zip(edges, edges[1:], words.first)]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, starts, copies = batch.column("text"), batch.column("starts"), batch.column("copy")
             for i, j, buf, bounds in slices(texts):
                 own = starts.slice(i, j - i)
-                repeated = everywhere(buf, bounds, own) if len(own.flatten()) else [()] * (j - i)
+                repeated = everywhere(buf, bounds, own) if len(own.flatten()) else [None] * (j - i)
                 raw = buf.tobytes()
-                n_words, spans, kept = [], [], []
+                n_words, all_factors, spans, kept = [], [], [], []
                 for a, b, at, copy in zip(bounds.tolist(), bounds[1:].tolist(), repeated, copies.slice(i, j - i).to_pylist()):
                     words = raw[a:b].split()
                     n_words.append(len(words))
-                    factors = []
-                    if copy and len(words) >= block:
-                        factors, words = [(0, len(words))], []
-                    elif len(at):
-                        gap = np.flatnonzero(np.diff(at) > block)
-                        factors = [(int(x), int(y)) for x, y in zip(at[np.r_[0, gap + 1]], at[np.r_[gap, len(at) - 1]] + block)]
-                        for x, y in reversed(factors):
-                            del words[x:y]
-                    spans.append([{"start": x, "end": y} for x, y in factors])
+                    if copy is not None and len(words) >= block:
+                        factors = [(0, len(words), copy, 0)]
+                    else:
+                        factors = parse(matches(*at, block)) if at is not None else []
+                    merged: list[list[int]] = []
+                    for x, y, _, _ in factors:
+                        if merged and merged[-1][1] == x:
+                            merged[-1][1] = y
+                        else:
+                            merged.append([x, y])
+                    for x, y in reversed(merged):
+                        del words[x:y]
+                    all_factors.append([dict(zip(("start", "end", "ref_doc", "ref_start"), f)) for f in factors])
+                    spans.append([{"start": x, "end": y} for x, y in merged])
                     kept.append(b" ".join(words))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(i, j - i), pa.array(n_words, pa.int64()), pa.array(all_factors, pa.list_(_FACTOR)), pa.array(spans, pa.list_(span_type)), pa.array(kept, pa.binary()).cast(pa.string())],
+                    ["doc_id", "n_words", "factors", "spans", "kept"],
+                )
 
     return of
 
 
 def substring_dedup(docs: DataFrame, block: int = BLOCK, gram: int = GRAM) -> DataFrame:
-    """One row per document: doc_id, n_words, spans (word positions [start, end) of duplicate factors, in order), kept
-    (the other words, joined by one space)."""
+    """One row per document: doc_id, n_words, factors (word positions [start, end), and the same words' document and start:
+    ref_doc, ref_start), spans (factors that touch as one: what is duplicate), kept (the other words, joined by one space)."""
     # as they are where they have their types: a cast that does nothing would keep Spark from seeing that all uses of the
     # shuffled texts below are one
     kinds = dict(docs.dtypes)
     docs = docs.select(*(F.col(c) if kinds[c] == kind else F.col(c).cast(kind).alias(c) for c, kind in (("doc_id", "bigint"), ("text", "string"))))
-    keyed = docs.where("doc_id is not null").withColumn("key", F.xxhash64("text"))
+    keyed = docs.where("doc_id is not null").withColumn("key", F.xxhash64("text")).withColumn("key2", F.xxhash64(F.lit(block), "text"))
     # a text that an earlier document has whole has nothing of its own: it takes part in no parse
-    texts = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    copies = keyed.select("doc_id", "key").join(texts.select("key", "a"), "key").where("doc_id > a").select("doc_id", "key", F.lit(True).alias("copy")).distinct()
-    every = keyed.repartition("doc_id", "key").join(copies, ["doc_id", "key"], "left")
+    texts = keyed.groupBy("key", "key2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    copies = keyed.select("doc_id", "key", "key2").join(texts.select("key", "key2", "a"), ["key", "key2"]).where("doc_id > a").groupBy("doc_id", "key").agg(F.min("a").alias("copy"))
+    every = keyed.drop("key2").repartition("doc_id", "key").join(copies, ["doc_id", "key"], "left")
     rows = every.where("copy is null").drop("copy")
     at = "doc_id long, key long, pos int, h long"
     anchors = rows.mapInArrow(_anchors(block, gram), at)
     shared = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
     positions = anchors.join(shared, "h").groupBy("doc_id", "key").agg(F.collect_set("pos").alias("shared"))
-    blocks = rows.join(positions, ["doc_id", "key"]).mapInArrow(_blocks(block, gram), at)
-    first = blocks.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h", "a")
-    repeated = blocks.join(first, "h").where("doc_id > a").groupBy("doc_id", "key").agg(F.collect_set("pos").alias("starts"))
+    blocks = rows.join(positions, ["doc_id", "key"]).mapInArrow(_blocks(block, gram), f"{at}, h2 long")
+    place = F.min(F.struct(F.col("doc_id").alias("ref_doc"), F.col("pos").alias("ref_pos")))
+    first = blocks.groupBy("h", "h2").agg(place.alias("a"), F.max("doc_id").alias("b")).where("a.ref_doc < b").select("h", "h2", "a.*")
+    starts = F.collect_set(F.struct("pos", "ref_doc", "ref_pos"))
+    repeated = blocks.join(first, ["h", "h2"]).where("doc_id > ref_doc").groupBy("doc_id", "key").agg(starts.alias("starts"))
     whole = every.join(repeated, ["doc_id", "key"], "left").drop("key")
     # a null id is earlier than none and later than none
-    rest = docs.where("doc_id is null").withColumn("copy", F.lit(None).cast("boolean")).withColumn("starts", F.lit(None).cast("array<int>"))
-    return whole.unionByName(rest).mapInArrow(_cut(block), "doc_id long, n_words long, spans array<struct<start:int,end:int>>, kept string")
+    rest = docs.where("doc_id is null").withColumn("copy", F.lit(None).cast("long")).withColumn("starts", F.lit(None).cast("array<struct<pos:int,ref_doc:bigint,ref_pos:int>>"))
+    factor = "array<struct<start:int,end:int,ref_doc:bigint,ref_start:int>>"
+    return whole.unionByName(rest).mapInArrow(_cut(block), f"doc_id long, n_words long, factors {factor}, spans array<struct<start:int,end:int>>, kept string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,6 @@ U = np.uint64
 #: Texts are handled in slices of about so many bytes (one longer text: alone), which bounds a worker's memory.
 SLICE_BYTES = 1 << 20
 BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so that powers have inverses
-_INV, _WORD_INV = pow(BASE, -1, 1 << 64), pow(WORD_BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,6 +40,8 @@ _SEP[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
+#: Of a second hash that shares nothing with the first: byte values and bases. Both together are 128 bits.
+_BYTE_2, BASE_2, WORD_BASE_2 = stream(256, 31), 0xA24BAED4963EE407, 0x9FB21C651E98DF25
 _pow: dict[int, np.ndarray] = {}
 
 
@@ -82,9 +83,16 @@ class Words:
 
     def spans(self, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
         """Hashes of byte spans of buf."""
+        return self._spans(start, end, _BYTE_LOWER if lower else _BYTE, BASE)
+
+    def second(self) -> np.ndarray:
+        """Of each word as it stands a second hash."""
+        return self._spans(self.start, self.end, _BYTE_2, BASE_2)
+
+    def _spans(self, start: np.ndarray, end: np.ndarray, values: np.ndarray, base: int) -> np.ndarray:
         total = np.zeros(len(self.buf) + 1, U)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.buf] * powers(BASE, len(self.buf)), out=total[1:])
-        h = (total[end] - total[start]) * powers(_INV, len(self.buf) + 1)[start]
+        np.cumsum(values[self.buf] * powers(base, len(self.buf)), out=total[1:])
+        h = (total[end] - total[start]) * powers(pow(base, -1, 1 << 64), len(self.buf) + 1)[start]
         return mix(h + (end - start).astype(U))
 
     def owners(self) -> np.ndarray:
@@ -112,15 +120,15 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
-def grams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def grams(h: np.ndarray, first: np.ndarray, n: int, base: int = WORD_BASE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of n words within one text, and the position of each run's first word."""
     m = len(h)
     if m < n:
         return np.zeros(0, U), np.zeros(0, np.int64)
     total = np.zeros(m + 1, U)
-    np.cumsum(h * powers(WORD_BASE, m), out=total[1:])
+    np.cumsum(h * powers(base, m), out=total[1:])
     at = starts(first, n)
-    return mix((total[at + n] - total[at]) * powers(_WORD_INV, m)[at] + U(n)), at
+    return mix((total[at + n] - total[at]) * powers(pow(base, -1, 1 << 64), m)[at] + U(n)), at
 
 
 def starts(first: np.ndarray, n: int) -> np.ndarray:
