@@ -41,6 +41,7 @@ RUNGS = 64
 ITERATIONS = 14
 #: Tokens whose forward variables are held at once.
 HELD = 400_000
+LEAST_HELD, WIDE = 50_000, 128
 #: Steps of the recursions between two scalings, in double precision; half as many in single.
 RESCALE = 8
 END = U(0x454E44)
@@ -118,11 +119,13 @@ class _Batch:
 
 def _batches(symbols: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, _Batch]]:
     order = np.argsort(-np.diff(first), kind="stable")
-    size = np.cumsum(np.diff(first)[order])
+    length = np.diff(first)[order]
+    size = np.cumsum(length)
     k = 0
     while k < len(order):
         done = size[k - 1] if k else 0
-        e = max(k + 1, int(np.searchsorted(size, done + HELD, side="right")))
+        room = min(HELD, max(LEAST_HELD, WIDE * int(length[k])))
+        e = max(k + 1, int(np.searchsorted(size, done + room, side="right")))
         yield order[k:e], _Batch(symbols, first, order[k:e])
         k = e
 
