@@ -15,8 +15,8 @@ logarithm of its clauses' sum and of its length.
 
 Lexicon. A fixed list of plain insults, and what labelled texts teach: words, and stems (prefixes of 4 to 8 bytes, for
 languages that inflect), whose share of toxic texts is larger than that of others beyond doubt (by the log odds ratio, which is
-the weight, and its lower bound). At most FIT_ROWS labelled texts, drawn by hash of doc_id, are used for it and for the logistic; every text is
-scored. Only the text is ever an input of a score.
+the weight, and its lower bound). At most FIT_ROWS labelled documents, the first by hash of doc_id, are used for it and for the logistic, each
+different text once with each label; every text is scored. Only the text is ever an input of a score.
 
 Defined cases: a null or empty text has no clause and gets the score of such; labels that are null count as none; a doc_id
 with several labels is toxic if any says so; rows that repeat a doc_id are scored one by one; without labelled texts the
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import by_bytes, table
 
 FIT_ROWS = 20_000
 #: Of what counts as insult: the least log odds ratio, and the least of its lower bound.
@@ -132,9 +132,8 @@ def compose(parts: tuple[Transducer, ...]) -> tuple[list[list[int]], list[list[t
 
 
 NEXT, GIVES = compose(TRANSDUCERS)
-_SPLIT = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_MARKS = re.compile("[ -⁯ -¿]")
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]+|[\"“”«»„]")
+_LETTERS = r"[^\W\d_]+(?:['’][^\W\d_]+)?"
+_WORD, _TOKEN = re.compile(_LETTERS), re.compile(_LETTERS + r"|[.!?;:\n]+|[\"“”«»„]")
 
 
 @dataclass
@@ -158,6 +157,7 @@ class Grammar:
         """The clauses that the grammar matches, with their scores."""
         found, state, total, begin = [], 0, 0.0, 0
         low = text.lower()
+        text = text if len(low) == len(text) else low
         for m in _TOKEN.finditer(low):
             word, weight = m[0], 0.0
             if word[0] in ".!?;:\n":
@@ -185,8 +185,8 @@ class Grammar:
 
 
 def plain_words(text: str | None) -> set[bytes]:
-    """The different words of a text, in lower case, as bytes."""
-    return set(_MARKS.sub(" ", (text or "").lower()).encode().translate(_SPLIT).split())
+    """The different words of a text as the grammar reads them, as bytes."""
+    return set(" ".join(_WORD.findall((text or "").lower())).encode().split())
 
 
 class _Scan:
@@ -208,10 +208,11 @@ class _Scan:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     toxic, clean, rows = Counter(), Counter(), [0, 0]
     for batch in batches:
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            words = plain_words(text)
-            rows[label] += 1
-            (toxic if label else clean).update({b"w" + w for w in words} | {b"s" + w[:n] for w in words for n in STEMS if len(w) >= n})
+        for part in by_bytes(batch, "text"):
+            for text, label in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
+                words = plain_words(text)
+                rows[label] += 1
+                (toxic if label else clean).update({b"w" + w for w in words} | {b"s" + w[:n] for w in words for n in STEMS if len(w) >= n})
     keys = list(toxic.keys() | clean.keys())
     yield pa.RecordBatch.from_arrays([pa.array([b"", *keys], pa.binary()), pa.array([rows[1], *(toxic[k] for k in keys)], pa.int64()), pa.array([rows[0], *(clean[k] for k in keys)], pa.int64())], ["feature", "toxic", "clean"])
 
@@ -243,9 +244,10 @@ def _totals(grammar: Grammar):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _Scan(grammar)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            totals = [sum(t for _, t in grammar.clauses(x)) if x and scan.hits(x) else 0.0 for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(totals, pa.float64()), pa.array([len(x or "") for x in texts], pa.int64()), batch.column("toxic")], ["total", "chars", "toxic"])
+            for part in by_bytes(batch, "text"):
+                texts = part.column("text").to_pylist()
+                totals = [sum(t for _, t in grammar.clauses(x)) if x and scan.hits(x) else 0.0 for x in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(totals, pa.float64()), pa.array([len(x or "") for x in texts], pa.int64()), part.column("toxic")], ["total", "chars", "toxic"])
 
     return of
 
@@ -268,10 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: str, rows: int = FIT_ROWS)
     """A grammar from the labelled texts whose doc_id meets the SQL condition `training`."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     marks = marks.where(training).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = marks.count()
-    if not n:
-        return Grammar()
-    marks = marks.where(f"pmod(xxhash64(doc_id), {n}) < {rows}").limit(rows + rows // 10)
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     sample = texts.join(marks, "doc_id").select("text", F.expr("int(toxic > 0)").alias("toxic")).distinct()
     counted = sample.mapInArrow(_features, "feature binary, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -294,8 +293,7 @@ def _scored(grammar: Grammar):
         scan = _Scan(grammar)
         kind = pa.list_(pa.struct([("clause", pa.string()), ("score", pa.float64())]))
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for part in by_bytes(batch, "text"):
                 texts = part.column("text").to_pylist()
                 found = [grammar.clauses(x) if x and scan.hits(x) else [] for x in texts]
                 scores = [grammar.score(sum(t for _, t in own), len(x or "")) for x, own in zip(texts, found)]
@@ -317,8 +315,9 @@ def _keep(grammar: Grammar, threshold: float):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _Scan(grammar)
         for batch in batches:
-            rows = [k for k, x in enumerate(batch.column("text").to_pylist()) if not (x and scan.hits(x)) or grammar.score(sum(t for _, t in grammar.clauses(x)), len(x)) < threshold]
-            yield batch.take(pa.array(rows, pa.int64()))
+            for part in by_bytes(batch, "text"):
+                rows = [k for k, x in enumerate(part.column("text").to_pylist()) if not (x and scan.hits(x)) or grammar.score(sum(t for _, t in grammar.clauses(x)), len(x)) < threshold]
+                yield part.take(pa.array(rows, pa.int64()))
 
     return of
 
