@@ -2,8 +2,9 @@
 
 A text is made canonical: lower case; lines that only state a copyright go; equivalent spellings become one; all that is
 neither letter nor digit becomes one space, at the ends none. The SHA-256 digest of the whole canonical text is joined with
-the digests of known licences and notices, made the same way. A document's whole text is looked up, and each of its lines
-as a text of its own, as notices stand alone in a line.
+the digests of known licences and notices, made the same way; of long licences only the digest is kept. A document's whole text is
+looked up, and each of its lines as a text of its own, as notices stand alone in a line. A notice of several lines inside a
+longer document is not found.
 
 A text can be canonically equal to a known one only if it holds one of MARKS as it stands, whatever its case: each known text
 has one of them within a word, and canonical words stand unbroken in the text. That test comes first, so that few texts are
@@ -38,6 +39,22 @@ Unless required by applicable law or agreed to in writing, software distributed
 _GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {0} of the License, or (at your option) any later version.
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
 _MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+_MIT_0 = "\n".join(line for line in _MIT_BODY.split("\n") if not line.startswith("The above")).replace(", subject to the following conditions:", ".")
+_0BSD = _ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <{0}>"""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_BSL = """Boost Software License - Version 1.0 - August 17th, 2003
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 KNOWN = [
     ("MIT", f"MIT License\n{_MIT_BODY}"),
     ("MIT", f"The MIT License (MIT)\n{_MIT_BODY}"),
@@ -47,7 +64,22 @@ KNOWN = [
     ("MIT", "This project is licensed under the MIT License."),
     ("BSD-2-Clause", f"{_BSD_2}\n{_BSD_END}"),
     ("BSD-3-Clause", f"{_BSD_2}\n{_BSD_3}\n{_BSD_END}"),
+    ("BSD-2-Clause", f"All rights reserved.\n{_BSD_2}\n{_BSD_END}"),
+    ("BSD-3-Clause", f"All rights reserved.\n{_BSD_2}\n{_BSD_3}\n{_BSD_END}"),
+    ("BSD-2-Clause", f"BSD 2-Clause License\n{_BSD_2}\n{_BSD_END}"),
+    ("BSD-3-Clause", f"BSD 3-Clause License\n{_BSD_2}\n{_BSD_3}\n{_BSD_END}"),
+    ("BSD-2-Clause", f"BSD 2-Clause License\nAll rights reserved.\n{_BSD_2}\n{_BSD_END}"),
+    ("BSD-3-Clause", f"BSD 3-Clause License\nAll rights reserved.\n{_BSD_2}\n{_BSD_3}\n{_BSD_END}"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("MIT-0", _MIT_0),
+    ("MIT-0", f"MIT No Attribution\n{_MIT_0}"),
+    ("0BSD", _0BSD),
+    ("0BSD", f"BSD Zero Clause License\n{_0BSD}"),
+    ("Unlicense", _UNLICENSE.format("https://unlicense.org")),
+    ("Unlicense", _UNLICENSE.format("https://unlicense.org/")),
+    ("Zlib", _ZLIB),
+    ("Zlib", f"zlib License\n{_ZLIB}"),
+    ("BSL-1.0", _BSL),
     ("ISC", f"ISC License\n{_ISC}"),
     ("ISC", _ISC),
     ("Apache-2.0", _APACHE),
@@ -70,6 +102,27 @@ KNOWN = [
     ("LicenseRef-public-domain", "This work is in the public domain."),
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
 ]
+# Digests of the canonical texts of long licences; of the last four, as far as the end of their terms.
+DIGESTS = [
+    ("Apache-2.0", "e440eb4b067ab3a0604cc274e564c22d407effa41f60ffddd2e80e17f45db876"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("BSD-3-Clause", "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"),
+    ("MPL-2.0", "08978d4dbcdf8773027f972cfd1aba21fe94904fc0194fcf2cf58ee987701793"),
+    ("Apache-2.0", "8d7c31f10cecf5237270c0218f1c0200b470f31618e6770309a5ad405adb00b6"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+]
 # Spellings that count as one.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("sublicence", "sublicense"), ("sublicenced", "sublicensed"), ("sub license", "sublicense"), ("sub licensed", "sublicensed"), ("non commercial", "noncommercial"), ("copyright owner", "copyright holder"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("whilst", "while"), ("wilful", "willful"), ("https", "http"), ("version 2 0", "version 2"), ("v 2 0", "version 2"), ("v2 0", "version 2"), ("version 3 0", "version 3")]
 MARKS = ["licen", "permission", "redistribution", "reserved", "domain"]
@@ -92,7 +145,9 @@ def digest(text: Column) -> Column:
 
 def known(spark: SparkSession) -> DataFrame:
     values = F.array(*(F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in KNOWN))
-    return spark.range(1).select(F.explode(values).alias("k")).select("k.license_id", digest(F.col("k.text")).alias("digest")).distinct()
+    whole = F.array(*(F.struct(F.lit(i).alias("license_id"), F.lit(d).alias("digest")) for i, d in DIGESTS))
+    texts = spark.range(1).select(F.explode(values).alias("k")).select("k.license_id", digest(F.col("k.text")).alias("digest"))
+    return texts.union(spark.range(1).select(F.explode(whole).alias("k")).select("k.license_id", "k.digest")).distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -128,8 +183,10 @@ def _sql_canonical(x: str) -> str:
 
 
 _VALUES = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
+_DIGESTS = ", ".join(f"('{i}', '{d}')" for i, d in DIGESTS)
 ORACLE_SQL = f"""
-WITH known AS (SELECT DISTINCT license_id, sha256({_sql_canonical('t')}) AS digest FROM (VALUES {_VALUES}) AS v(license_id, t)),
+WITH known AS (SELECT DISTINCT license_id, sha256({_sql_canonical('t')}) AS digest FROM (VALUES {_VALUES}) AS v(license_id, t)
+  UNION SELECT license_id, digest FROM (VALUES {_DIGESTS}) AS d(license_id, digest)),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
 parts AS (
   SELECT doc_id, 'text' AS scope, 0 AS line_no, text AS part FROM documents
