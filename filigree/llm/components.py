@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import discard, materialise
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -16,13 +16,15 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     with the logarithm of the longest path. Names are joined back in turn at the end.
     """
     edges = materialise(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct(), "edges")
-    named = None
+    named, names = None, []
     for k in range(rounds):
         both = edges.union(edges.select("b", "a"))
         order = F.struct(F.xxhash64("b", F.lit(k)).alias("o"), F.col("b").alias("id"))
         best = both.groupBy("a").agg(F.min(order).alias("m"))
         own = F.struct(F.xxhash64("a", F.lit(k)).alias("o"), F.col("a").alias("id"))
         name = materialise(best.select(F.col("a").alias("id"), F.least(F.col("m"), own)["id"].alias("name")), "names")
+        names.append(name)
+        before = edges
         edges = (
             edges.join(name.select(F.col("id").alias("a"), F.col("name").alias("x")), "a")
             .join(name.select(F.col("id").alias("b"), F.col("name").alias("y")), "b")
@@ -31,6 +33,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
             .distinct()
         )
         edges = materialise(edges, "edges")
+        discard(before)
         if named is None:
             named = name
         else:
@@ -41,5 +44,6 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     else:
         raise RuntimeError("components: more rounds than any graph should need")
     named = materialise(named, "named")
+    discard(edges, *names)
     least = named.groupBy("name").agg(F.min("id").alias("component"))
     return named.join(least, "name").select("id", "component")

@@ -27,17 +27,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, table
+from .shared import by_bytes, materialise, table
 from .words import U, Words, mix, signed, slices, stream
 
 STATES, SYMBOLS, CLASSES, LOOKUP = 8, 16_000, 1024, 100_000
 RUNGS = 64
+#: Texts that are scored side by side: so many bytes and rows at most, or one longer text.
+PART_BYTES, PART_ROWS = 16 << 20, 3000
 ITERATIONS = 14
 #: Tokens whose forward variables are held at once.
 HELD = 400_000
@@ -299,7 +302,7 @@ def _score(model: Model, known: np.ndarray, counts: np.ndarray, share: np.ndarra
     """known: hashes of the most frequent tokens, ascending, with their counts; share: log10 of each class's denominator."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(by_bytes(b, "text", PART_BYTES, PART_ROWS) for b in batches):
             size = batch.num_rows
             held, symbols, n_tokens = [], [], np.zeros(size, np.int64)
             n_known, base_score, score = np.zeros(size, np.int64), np.zeros(size), np.zeros(size)

@@ -8,18 +8,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.shared import fresh_path, materialise, shared_dir
+from ..sources.shared import discard, fresh_path, materialise, shared_dir
 
-__all__ = ["by_bytes", "fresh_path", "materialise", "shared_dir", "table"]
-
-BATCH_ROWS = 3000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+__all__ = ["by_bytes", "discard", "fresh_path", "materialise", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the corpus. Texts go to Python in batches of BATCH_ROWS rows where the session has Spark's own setting."""
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    """A table of the corpus."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

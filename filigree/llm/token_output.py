@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, table
+from .shared import by_bytes, fresh_path, table
 
 SEQUENCE, BATCH, END_ID = 2048, 64, 0
 #: Pieces that a worker remembers, at most, and between tasks.
@@ -214,8 +214,7 @@ def _write(folder: str, tokenizer: str, sequence: int, batch: int, end: int):
         name, out = f"{root}/{uuid.uuid4().hex}", None
         low = None
         for rows in batches:
-            for k in range(0, rows.num_rows, 512):
-                part = rows.slice(k, 512)
+            for part in by_bytes(rows, "text"):
                 ids, counts = encode.encode([x or "" for x in part.column("text").to_pylist()], end)
                 if out is None:
                     store.create_dir(root, recursive=True)
