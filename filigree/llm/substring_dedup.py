@@ -137,6 +137,8 @@ def parse(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, i
             return factors
 
 
+#: Of a block that an earlier document has: where it starts, and where the same starts first.
+PLACE = ("pos", "ref_doc", "ref_pos")
 _FACTOR = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())])
 
 
@@ -144,18 +146,19 @@ def _cut(block: int):
     """Parses each text by its repeated blocks and cuts the spans out."""
     span_type = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
-    def everywhere(buf: np.ndarray, bounds: np.ndarray, starts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text the positions of all blocks that equal one of those in `starts`, with the places of these."""
+    def everywhere(buf: np.ndarray, bounds: np.ndarray, starts: list[pa.Array]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text the positions of all blocks that equal one of those in `starts` (position, reference document and position), with
+        the places of these."""
         words = Words(buf, bounds, lower=False)
         h, h2, at = _both(words, block)
         owner = words.owners()[at] if len(at) else at
         one = mix(h ^ mix(h2)) + owner.astype(U) * U(0x9E3779B97F4A7C15)  # within a text
         place = np.zeros(len(words.hash), np.int64)
         place[at] = np.arange(len(at))
-        flat = starts.flatten()
-        marked = place[np.asarray(flat.field("pos"), np.int64) + np.repeat(words.first[:-1], np.asarray(starts.value_lengths().fill_null(0), np.int64))]
+        pos, doc, ref = (np.asarray(x.flatten(), np.int64) for x in starts)
+        marked = place[pos + np.repeat(words.first[:-1], np.asarray(starts[0].value_lengths().fill_null(0), np.int64))]
         by = np.argsort(one[marked], kind="stable")
-        marked, doc, ref = marked[by], np.asarray(flat.field("ref_doc"), np.int64)[by], np.asarray(flat.field("ref_pos"), np.int64)[by]
+        marked, doc, ref = marked[by], doc[by], ref[by]
         m = np.minimum(np.searchsorted(one[marked], one), len(marked) - 1)
         k = np.flatnonzero((h[marked[m]] == h) & (h2[marked[m]] == h2) & (owner[marked[m]] == owner))
         edges = np.searchsorted(owner[k], np.arange(len(bounds)))
@@ -163,10 +166,10 @@ def _cut(block: int):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, starts, copies = batch.column("text"), batch.column("starts"), batch.column("copy")
+            texts, copies = batch.column("text"), batch.column("copy")
             for i, j, buf, bounds in slices(texts):
-                own = starts.slice(i, j - i)
-                repeated = everywhere(buf, bounds, own) if len(own.flatten()) else [None] * (j - i)
+                own = [batch.column(c).slice(i, j - i) for c in PLACE]
+                repeated = everywhere(buf, bounds, own) if len(own[0].flatten()) else [None] * (j - i)
                 raw = buf.tobytes()
                 n_words, all_factors, spans, kept = [], [], [], []
                 for a, b, at, copy in zip(bounds.tolist(), bounds[1:].tolist(), repeated, copies.slice(i, j - i).to_pylist()):
@@ -215,11 +218,11 @@ def substring_dedup(docs: DataFrame, block: int = BLOCK, gram: int = GRAM) -> Da
     blocks = rows.join(positions, ["doc_id", "key"]).mapInArrow(_blocks(block, gram), f"{at}, h2 long")
     place = F.min(F.struct(F.col("doc_id").alias("ref_doc"), F.col("pos").alias("ref_pos")))
     first = blocks.groupBy("h", "h2").agg(place.alias("a"), F.max("doc_id").alias("b")).where("a.ref_doc < b").select("h", "h2", "a.*")
-    starts = F.collect_set(F.struct("pos", "ref_doc", "ref_pos"))
-    repeated = blocks.join(first, ["h", "h2"]).where("doc_id > ref_doc").groupBy("doc_id", "key").agg(starts.alias("starts"))
+    # three lists in one order, as they take the least room
+    repeated = blocks.join(first, ["h", "h2"]).where("doc_id > ref_doc").groupBy("doc_id", "key").agg(*(F.collect_list(c).alias(c) for c in PLACE))
     whole = every.join(repeated, ["doc_id", "key"], "left").drop("key")
     # a null id is earlier than none and later than none
-    rest = docs.where("doc_id is null").withColumn("copy", F.lit(None).cast("long")).withColumn("starts", F.lit(None).cast("array<struct<pos:int,ref_doc:bigint,ref_pos:int>>"))
+    rest = docs.where("doc_id is null").withColumn("copy", F.lit(None).cast("long")).select("*", *(F.lit(None).cast(dict(repeated.dtypes)[c]).alias(c) for c in PLACE))
     factor = "array<struct<start:int,end:int,ref_doc:bigint,ref_start:int>>"
     return whole.unionByName(rest).mapInArrow(_cut(block), f"doc_id long, n_words long, factors {factor}, spans array<struct<start:int,end:int>>, kept string")
 
