@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_uid, est_tokens
+from .folds import running
+from .tables import split_table
 
 CHUNK_SIZE, OVERLAP, PARENT_CHARS = 512, 64, 3000
 
@@ -26,29 +30,65 @@ def group_parents(blocks: DataFrame, by_heading: bool = True, limit: int = PAREN
     """blocks (doc, seq, kind, heading, chars) get the number of their parent: a table stands alone; text goes on while its
     heading stays and the parent keeps within `limit` characters (one longer block makes a parent by itself). The check of
     the limit comes before the heading is noted, so the fold runs over each document's own blocks in order."""
-    listed = blocks.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "heading", "chars"))).alias("bs"))
-    changed = "a.open and not (a.heading <=> b.heading)" if by_heading else "false"
-    new = f"b.kind = 'table' or not a.open or {changed} or a.chars + b.chars > {limit}"
-    fold = f"""aggregate(bs, named_struct('open', false, 'heading', cast(null as string), 'chars', 0L, 'n', -1, 'out', cast(array() as array<int>)),
-      (a, b) -> named_struct(
-        'open', b.kind <> 'table',
-        'heading', if({new}, b.heading, a.heading),
-        'chars', cast(if({new}, 0L, a.chars) + b.chars as bigint),
-        'n', a.n + if({new}, 1, 0),
-        'out', array_append(a.out, a.n + if({new}, 1, 0))))"""
-    return listed.select("doc", F.explode(F.arrays_zip("bs", F.expr(fold)["out"].alias("parent"))).alias("x")).select("doc", F.col("x.bs.seq").alias("seq"), F.col("x.parent").alias("parent"))
+
+    def step(state, kind, heading, chars):
+        goes_on, held, length, n = state
+        new = kind == "table" or not goes_on or (by_heading and held is not None and held != heading) or length + chars > limit
+        n += new
+        return (kind != "table", heading if new else held, (0 if new else length) + chars, n), n
+
+    rows = blocks.select("doc", "seq", "kind", "heading", F.coalesce("chars", F.lit(0)).cast("long").alias("chars"))
+    return running(rows, ["doc"], ["seq"], ["kind", "heading", "chars"], (False, None, 0, -1), step, "parent", "int").select("doc", "seq", "parent")
+
+
+#: What a parsed block has.
+BLOCK = "doc_key string, seq int, kind string, text string, heading_path string, page_start int, page_end int, unit string, currency string, statement_type string, flags array<string>"
+_OWN = ("heading_path", "unit", "currency", "statement_type", "flags")
+
+
+def _headed(text: Column) -> Column:
+    """A heading is written before the text once."""
+    bare = (F.length("heading_path") == 0) | F.col("heading_path").isNull() | F.startswith(text, F.col("heading_path"))
+    return F.when(bare, text).otherwise(F.concat(F.col("heading_path"), F.lit("\n"), text))
+
+
+def assemble(blocks: DataFrame, strategy: str = "heading", size: int = CHUNK_SIZE, overlap: int = OVERLAP, parent_child: bool = True, table_atomic: bool = True) -> DataFrame:
+    """Blocks (BLOCK) become parents (level 0; none without parent_child) and their children (level 1): chunk_uid, doc_key, parent_uid,
+    level, seq, chunk_type, heading_path, page_start, page_end, unit, currency, statement_type, table_flags, strategy, token_count,
+    content. Blocks are grouped by group_parents, by heading if that is the strategy; a group takes all but its pages from its first block. Children of a table are pieces of whole rows,
+    of up to four times the size, if tables are atomic; other text is cut at fixed places or recursively. Parents and children are each numbered through a
+    document. A summary table is a type of its own. Blocks without a document or number are left out."""
+    rows = blocks.select(*(F.col(c).cast(k).alias(c) for c, k in (x.split(" ", 1) for x in BLOCK.split(", ")))).where("doc_key is not null and seq is not null")
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    grouped = group_parents(rows.select(F.col("doc_key").alias("doc"), "seq", "kind", F.col("heading_path").alias("heading"), F.length("text").alias("chars")), strategy == "heading")
+    owned = rows.join(grouped.select(F.col("doc").alias("doc_key"), "seq", "parent"), ["doc_key", "seq"])
+    head = F.min_by(F.struct("kind", *_OWN), "seq").alias("h")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n")  # of one parent
+    groups = owned.groupBy("doc_key", "parent").agg(head, body.alias("text"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end")).select("doc_key", "parent", "text", "page_start", "page_end", "h.*")
+    summary = (F.col("kind") == "table") & F.array_contains(F.coalesce("flags", F.array().cast("array<string>")), "summary_table")
+    groups = groups.withColumn("chunk_type", F.when(summary, "table_summary").otherwise(F.col("kind")))
+    cut = fixed_pieces(F.col("text"), size, overlap) if strategy == "fixed" else recursive_pieces(size, overlap)(F.col("text"))
+    pieces = F.when((F.col("kind") == "table") & F.lit(table_atomic), split_table(F.col("text"), size * 4)).otherwise(cut)
+    groups = groups.withColumn("pieces", pieces)
+    before = Window.partitionBy("doc_key").orderBy("parent").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("first", F.coalesce(F.sum(F.size("pieces")).over(before), F.lit(0)))
+    uid = lambda level, seq: chunk_uid(F.col("doc_key"), F.lit(strategy), F.lit(level), seq)
+    parent_uid = uid(0, F.col("parent")) if parent_child else F.lit(None).cast("string")
+    shared = ["chunk_type", "heading_path", "page_start", "page_end", "unit", "currency", "statement_type", F.coalesce("flags", F.array().cast("array<string>")).alias("table_flags"), F.lit(strategy).alias("strategy")]
+    each = groups.select("*", F.posexplode("pieces").alias("at", "piece")).withColumn("seq", (F.col("first") + F.col("at")).cast("int")).withColumn("body", _headed(F.col("piece")))
+    children = each.select(uid(1, F.col("seq")).alias("chunk_uid"), "doc_key", parent_uid.alias("parent_uid"), F.lit(1).alias("level"), "seq", *shared, est_tokens(F.col("body")).alias("token_count"), F.col("body").alias("content"))
+    if not parent_child:
+        return children
+    parents = groups.select(uid(0, F.col("parent")).alias("chunk_uid"), "doc_key", F.lit(None).cast("string").alias("parent_uid"), F.lit(0).alias("level"), F.col("parent").alias("seq"), *shared, est_tokens(F.col("text")).alias("token_count"), _headed(F.col("text")).alias("content"))
+    return parents.unionByName(children)
 
 
 def chunk_document(docs: DataFrame, strategy: str = "fixed", size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """docs (doc_key, heading, text), a block each, become one parent (level 0) and its children (level 1), numbered by level.
-    A heading is written before the text once: chunk_uid, level, parent_uid, seq, token_count, content."""
-    headed = lambda t: F.when((F.length("heading") > 0) & ~t.startswith(F.col("heading")), F.concat(F.col("heading"), F.lit("\n"), t)).otherwise(t)
-    uid = lambda level, seq: chunk_uid(F.col("doc_key"), F.lit(strategy), F.lit(level), seq)
-    parent = docs.select(uid(0, F.lit(0)).alias("chunk_uid"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent_uid"), F.lit(0).alias("seq"), est_tokens(F.col("text")).alias("token_count"), headed(F.col("text")).alias("content"))
-    pieces = docs.select("doc_key", "heading", F.posexplode(fixed_pieces(F.col("text"), size, overlap)).alias("seq", "piece"))
-    body = headed(F.col("piece"))
-    child = pieces.select(uid(1, F.col("seq")).alias("chunk_uid"), F.lit(1).alias("level"), uid(0, F.lit(0)).alias("parent_uid"), "seq", est_tokens(body).alias("token_count"), body.alias("content"))
-    return parent.unionByName(child)
+    """docs (doc_key, heading, text), one block of text each, assembled: chunk_uid, level, parent_uid, seq, token_count, content."""
+    nothing = {c: k for c, k in (x.split(" ", 1) for x in BLOCK.split(", "))}
+    given = {"doc_key": F.col("doc_key"), "seq": F.lit(0), "kind": F.lit("text"), "text": F.col("text"), "heading_path": F.col("heading")}
+    blocks = docs.select(*(given.get(c, F.lit(None)).cast(k).alias(c) for c, k in nothing.items()))
+    return assemble(blocks, strategy, size, overlap).select("chunk_uid", "level", "parent_uid", "seq", "token_count", "content")
 
 
 # The order in which a recursive splitter tries its separators.
@@ -87,13 +127,15 @@ def split_recursive(text: str, size: int = CHUNK_SIZE, overlap: int = OVERLAP, s
     return out
 
 
-def chunk_recursive(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, seq, piece. The splitter's depth depends on the text, so it runs in Python over Arrow batches."""
+def recursive_pieces(size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> Callable[[Column], Column]:
+    """The recursive splitter over a column of texts, as arrays. Its depth depends on the text, so it runs in Python over Arrow batches."""
+
+    def of(texts):
+        return texts.map(lambda t: split_recursive(t or "", size, overlap))
 
-    def of(frames):
-        for frame in frames:
-            cut = [split_recursive(t or "", size, overlap) for t in frame["text"]]
-            frame = frame.assign(piece=cut)[["doc_id", "piece"]].explode("piece").dropna()
-            yield frame.assign(seq=frame.groupby("doc_id").cumcount().astype("int32"))[["doc_id", "seq", "piece"]]
+    return F.pandas_udf(of, "array<string>")
 
-    return docs.select("doc_id", "text").mapInPandas(of, "doc_id long, seq int, piece string")
+
+def chunk_recursive(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """doc_id, seq, piece; rows that repeat a doc_id are numbered each by itself, and so are those without one."""
+    return docs.select("doc_id", F.posexplode(recursive_pieces(size, overlap)(F.col("text"))).alias("seq", "piece"))

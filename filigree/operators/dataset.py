@@ -103,6 +103,64 @@ def sample(items: DataFrame, by: str, key: str, n: int, seed: int = 42) -> DataF
     return items.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).drop("r")
 
 
+def draw(items: DataFrame, caps: dict[str, int], by: str = "doc", key: str = "question", seed: int = 42) -> DataFrame:
+    """Of each company's items of a category as many as its cap, drawn by hash; categories without a cap stay whole."""
+    order = Window.partitionBy(by, "category").orderBy(F.md5(F.concat_ws("-", F.lit(seed), F.col(key).cast("string"))), key)
+    cap = F.coalesce(*(F.when(F.col("category") == c, F.lit(n)) for c, n in caps.items()), F.lit(2**31 - 1))
+    return items.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap).drop("r")
+
+
+def subset(items: DataFrame, category: str | None = None, limit: int | None = None, key: str = "id") -> DataFrame:
+    """Items of one category, and the first of them: a run over these is not comparable with one over all."""
+    out = items if category is None else items.where(F.col("category") == category)
+    return out if limit is None else out.orderBy(key).limit(limit)
+
+
+#: How many table and multihop items a company gives at most.
+CAPS = {"table": 12, "multihop": 4}
+DIFFICULTY = {"table": "单表直读", "multihop": "跨列计算", "scope": "口径辨析", "refuse": "语料外公司"}
+_ITEM = "question string, category string, difficulty string, ground_truth string, numeric_value double, unit string, metric_name string, expected_doc_keys array<string>, expected_pages array<int>, source string, verified boolean, note string"
+
+
+def _item(df: DataFrame, category: str, **given: Column) -> DataFrame:
+    """The twelve fields of an item, and doc, the company it is of."""
+    given = {"category": F.lit(category), "difficulty": F.lit(DIFFICULTY[category]), "source": F.lit("auto_extracted"), "verified": F.lit(True), **given}
+    return df.select(*(given.get(c, F.lit(None)).cast(k).alias(c) for c, k in (x.split(" ", 1) for x in _ITEM.split(", "))), F.col("doc"))
+
+
+def full_items(rows: DataFrame, scopes: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
+    """Items of three kinds with all their fields. rows (doc, code, metric, year, value, raw, unit, page, heading): usable ones; scopes (doc, code, metric, year, unit,
+    whole, parent, whole_raw, parent_raw, page, page_end). A multihop item is of the last two years that a metric has; a scope item names the whole range of pages of its table."""
+    last = rows.withColumn("doc_year", F.max("year").over(Window.partitionBy("code")))
+    key = F.array(F.format_string("%s_%d_annual", "code", "doc_year"))
+    table = _item(
+        last, "table", question=F.format_string("%s%d年%s是多少？", "doc", "year", "metric"), ground_truth=F.concat("raw", "unit"), numeric_value=F.col("value"), unit=F.col("unit"), metric_name=F.col("metric"),
+        expected_doc_keys=key, expected_pages=F.array("page"), note=F.format_string("%s 第%d页，列头年份 %d", "heading", "page", "year"),
+    )
+    order = Window.partitionBy("code", "metric").orderBy("year")
+    two = last.withColumn("b", F.lag(F.struct("value", "raw", "page", "year")).over(order)).withColumn("n", F.row_number().over(Window.partitionBy("code", "metric").orderBy(F.desc("year")))).where("n = 1 and b is not null and b.value <> 0")
+    change = F.round((F.col("value") - F.col("b.value")) / F.abs("b.value") * 100, 2)
+    shown = F.concat(change.cast("string"), F.lit("%"))
+    multihop = _item(
+        two, "multihop", question=F.format_string("%s%d年%s比%d年变化了百分之多少？", "doc", "year", "metric", "b.year"), ground_truth=F.concat(F.lit("约"), shown), numeric_value=change, unit=F.lit("%"), metric_name=F.concat("metric", F.lit("同比")),
+        expected_doc_keys=key, expected_pages=F.array_sort(F.array_distinct(F.array("page", "b.page"))), note=F.concat(F.format_string("(%s - %s) / %s = ", "raw", "b.raw", "b.raw"), shown),
+    )
+    side = lambda name, other: F.struct(F.lit("合并" if name == "whole" else "母公司").alias("s"), F.col(name).alias("v"), F.col(f"{name}_raw").alias("raw"), F.lit("母公司" if name == "whole" else "合并").alias("o"), F.col(f"{other}_raw").alias("other"))
+    each = scopes.withColumn("x", F.explode(F.array(side("whole", "parent"), side("parent", "whole"))))
+    scope = _item(
+        each, "scope", question=F.format_string("%s%d年%s报表口径的%s是多少？", "doc", "year", "x.s", "metric"), ground_truth=F.concat("x.raw", "unit"), numeric_value=F.col("x.v"), unit=F.col("unit"), metric_name=F.concat("x.s", "metric"),
+        expected_doc_keys=F.array(F.format_string("%s_%d_annual", "code", "year")), expected_pages=F.sequence(F.col("page"), F.greatest("page", F.coalesce("page_end", F.lit(0)))), note=F.format_string("第%d页；另一口径为 %s，两者不可混用", "page", "x.other"),
+    )
+    return draw(table.unionByName(multihop), CAPS if caps is None else caps).unionByName(scope)
+
+
+def refuse_items(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """asked (company, what): items about companies that are not in the corpus (names: name); one that has come in since gives none."""
+    outside = asked.join(names.select(F.col("name").alias("company")).distinct(), "company", "left_anti").withColumn("doc", F.col("company"))
+    nothing = {"expected_doc_keys": F.array(), "expected_pages": F.array()}
+    return _item(outside, "refuse", question=F.format_string("%s%s是多少？", "company", "what"), ground_truth=F.lit("（应拒答）"), source=F.lit("manual"), note=F.concat("company", F.lit(" 不在已入库语料中，应明确说明未收录")), **nothing)
+
+
 def questions(rows: DataFrame, changes: DataFrame, scopes: DataFrame) -> DataFrame:
     """Items of three kinds: category, question, value, unit. rows, changes and scopes carry the company's name as doc."""
     table = rows.select(F.lit("table").alias("category"), F.format_string("%s%d年%s是多少？", "doc", "year", "metric").alias("question"), "value", "unit")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPOKEN_SCALE, stripped
@@ -104,22 +104,44 @@ def summary(results: DataFrame, category: str, verdicts: list[str]) -> DataFrame
     return results.sparkSession.sql(f"select {category}, count(*) as n, {', '.join(aggs)} from {{r}} group by grouping sets (({category}), ())", r=results)
 
 
+#: Different values that a bootstrap holds as cumulated counts.
+DISTINCT = 1000
+
+
 def bootstrap_ci(values: DataFrame, rounds: int = 1000, alpha: float = 0.05) -> DataFrame:
-    """values (i from 0 without gaps, v): mean, lo, hi, n. Draw j of a round is the value at a place that a hash of round and
-    j gives, so any engine draws the same; bounds are order statistics of the rounds' means. Means come from counts of how
-    often each value was drawn, so one shuffle of (round, place) counts is all that grows."""
-    n = values.count()
+    """values (v): mean, lo, hi, n. Draw j of a round is the value at the place, in ascending order, that a hash of round and
+    j gives, so any engine draws the same; bounds are order statistics of the rounds' means. Verdicts have few values: a place is looked up in
+    their cumulated counts, draws are added up where they are made, and a row for each round and value is shuffled. With more than DISTINCT
+    values places are joined with ranges of values."""
     spark = values.sparkSession
     schema = "mean double, lo double, hi double, n long"
-    if n == 0:
+    counts = values.select(F.col("v").cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
+    held = sorted(counts.limit(DISTINCT + 1).collect())
+    if not held:
         return spark.createDataFrame([(0.0, 0.0, 0.0, 0)], schema)
-    draws = values.select("i").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    place = F.conv(F.substring(F.md5(F.concat_ws("-", "round", "i")), 1, 12), 16, 10).cast("long") % n
-    drawn = draws.select("round", place.alias("i")).groupBy("round", "i").agg(F.count("*").alias("c"))
-    means = drawn.join(values, "i").groupBy("round").agg((F.sum(F.col("c") * F.col("v")) / n).alias("m"))
+    if len(held) > DISTINCT:
+        before = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)  # of the different values
+        ranges = counts.withColumn("from", F.coalesce(F.sum("c").over(before), F.lit(0)))
+        n = counts.agg(F.sum("c")).first()[0]
+        at = ranges.select("v", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("c") - 1)).alias("i"))
+        pick = lambda draws: draws.join(at, "i").groupBy("round", "v").agg(F.sum("c").alias("c"))
+    else:
+        n, ends = 0, []
+        for v, c in held:
+            n += c
+            ends.append(n)
+        cumulated, shown = F.array(*(F.lit(e).cast("long") for e in ends)), F.array(*(F.lit(v) for v, _ in held))
+        pick = lambda draws: draws.withColumn("v", F.get(shown, F.size(F.filter(cumulated, lambda e: e <= F.col("i"))))).groupBy("round", "v").agg(F.sum("c").alias("c"))
+    draws = spark.range(n).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    place = F.conv(F.substring(F.md5(F.concat_ws("-", "round", "id")), 1, 12), 16, 10).cast("long") % n
+    drawn = draws.select("round", place.alias("i"), F.lit(1).alias("c"))
+    if len(held) > DISTINCT:
+        drawn = drawn.groupBy("round", "i").agg(F.sum("c").alias("c"))
+    means = pick(drawn).groupBy("round").agg((F.sum(F.col("c") * F.col("v")) / n).alias("m"))
     sorted_means = means.agg(F.array_sort(F.collect_list("m")).alias("ms"))  # `rounds` numbers
     bound = lambda q: F.element_at("ms", min(rounds - 1, int(rounds * q)) + 1)
-    return sorted_means.join(values.agg(F.avg("v").alias("mean"))).select("mean", bound(alpha / 2).alias("lo"), bound(1 - alpha / 2).alias("hi"), F.lit(n).cast("long").alias("n"))
+    mean = counts.agg((F.sum(F.col("c") * F.col("v")) / n).alias("mean"))
+    return sorted_means.join(F.broadcast(mean)).select("mean", bound(alpha / 2).alias("lo"), bound(1 - alpha / 2).alias("hi"), F.lit(n).cast("long").alias("n"))  # one row each
 
 
 def bootstrap_mt(values: list[float], rounds: int = 1000, alpha: float = 0.05, seed: int = 42) -> tuple[float, float, float, int]:

@@ -58,9 +58,39 @@ def embed(chunks: DataFrame, provider: Embed, batch: int = BATCH) -> DataFrame:
     return chunks.select("chunk_uid", "content").mapInPandas(of, "chunk_uid string, v array<float>")
 
 
-def cost(profile: Column, tokens_in: Column, tokens_out: Column) -> Column:
-    """Yuan, six decimals; null for a profile without a price."""
-    price = lambda k: F.element_at(F.create_map(*(x for name, p in PRICES.items() for x in (F.lit(name), F.lit(p[k])))), profile)
+class UnknownProfile(KeyError):
+    """A profile that the registry does not have."""
+
+
+class Registry:
+    """Profiles of models by name, as a configuration has them: {profiles: {name: {kind, model, price_in, price_out, ...}}}, prices in yuan for a
+    thousand tokens. What is not there is an error that says what is."""
+
+    def __init__(self, settings: dict) -> None:
+        self.profiles = dict(settings.get("profiles") or {})
+        for name, profile in self.profiles.items():
+            lacking = [key for key in ("kind", "model") if not profile.get(key)]
+            if lacking:
+                raise ValueError(f"profile {name} lacks {', '.join(lacking)}")
+
+    def __getitem__(self, name: str) -> dict:
+        if name not in self.profiles:
+            raise UnknownProfile(f"no profile {name}; there are {', '.join(sorted(self.profiles)) or 'none'}")
+        return self.profiles[name]
+
+    def of_kind(self, kind: str) -> list[str]:
+        return sorted(name for name, profile in self.profiles.items() if profile["kind"] == kind)
+
+    def prices(self) -> dict[str, tuple[float, float]]:
+        return {name: (float(p.get("price_in", 0)), float(p.get("price_out", 0))) for name, p in self.profiles.items()}
+
+
+def cost(profile: Column, tokens_in: Column, tokens_out: Column, prices: dict[str, tuple[float, float]] | None = None, strict: bool = False) -> Column:
+    """Yuan, six decimals; a profile without a price gives null, or an error if strict."""
+    prices = PRICES if prices is None else prices
+    if strict:
+        profile = F.when(profile.isin(list(prices)), profile).otherwise(F.raise_error(F.concat(F.lit("no price for profile "), F.coalesce(profile, F.lit("null")))).cast("string"))
+    price = lambda k: F.element_at(F.create_map(*(x for name, p in prices.items() for x in (F.lit(name), F.lit(p[k])))), profile)
     return F.round(tokens_in / 1000 * price(0) + tokens_out / 1000 * price(1), 6)
 
 

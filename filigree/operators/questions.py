@@ -25,6 +25,8 @@ MAX_QUESTION = 500
 ROUTE_CONFIDENCE, STEPS, ERRORS, COST = 0.7, 8, 3, 0.15
 NOT_CACHED = "agent_forced_answer|agent_empty_answer"
 CACHE_BYTES, CACHE_SECONDS, SEMANTIC = 16000, 86400, 0.97
+#: Years that a filing reports, its own and those before.
+COVERS = 3
 
 
 def guard(question: Column) -> Column:
@@ -51,7 +53,7 @@ def wanted_report(title: Column) -> Column:
 
 def report_years(years: Column) -> Column:
     """A filing covers its year and the two before, so a year is looked for in three filings."""
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(years, lambda y: F.sequence(y, y + 2)))))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(years, lambda y: F.sequence(y, y + (COVERS - 1))))))
 
 
 def needs_summary(years: Column, filed: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .folds import running
 
 BREAKDOWN_ROWS, SCOPE_PAGES, X_TOLERANCE, Y_TOLERANCE, COLUMN_HITS = 24, 4, 3.0, 4.0, 3
 
@@ -208,16 +209,18 @@ def heading_path(lines: DataFrame) -> DataFrame:
 def inherited_scope(tables: DataFrame, pages: int = SCOPE_PAGES) -> DataFrame:
     """tables (doc, seq, page, heading, title): the statement title in force at each table. A title holds while the heading stays
     and for `pages` pages; once it has run out it is gone, also for a later table under the same heading."""
-    listed = tables.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("seq", "page", "heading", "title"))).alias("ts"))
-    own = f"rlike(coalesce(t.title, ''), '{T.STATEMENT_SCOPE}')"
-    valid = f"a.scope is not null and a.heading <=> t.heading and t.page - a.page <= {pages}"
-    fold = f"""aggregate(ts, named_struct('scope', cast(null as string), 'heading', cast(null as string), 'page', 0, 'out', cast(array() as array<string>)),
-      (a, t) -> named_struct(
-        'scope', case when {own} then regexp_extract(t.title, '{T.STATEMENT_SCOPE}', 0) when {valid} then a.scope end,
-        'heading', case when {own} then t.heading when {valid} then a.heading end,
-        'page', case when {own} then t.page when {valid} then a.page else 0 end,
-        'out', array_append(a.out, case when {own} then regexp_extract(t.title, '{T.STATEMENT_SCOPE}', 0) when {valid} then a.scope end)))"""
-    return listed.select("doc", F.explode(F.arrays_zip("ts", F.expr(fold)["out"].alias("scope"))).alias("x")).select("doc", F.col("x.ts.seq").alias("seq"), F.col("x.scope").alias("scope"))
+    own = F.nullif(F.regexp_extract(F.coalesce("title", F.lit("")), T.STATEMENT_SCOPE, 0), F.lit(""))
+
+    def step(state, page, heading, title):
+        scope, under, since = state
+        if title is not None:
+            return (title, heading, page), title
+        if scope is not None and under == heading and page - since <= pages:
+            return state, scope
+        return (None, None, 0), None
+
+    rows = tables.select("doc", "seq", "page", "heading", own.alias("own"))
+    return running(rows, ["doc"], ["seq"], ["page", "heading", "own"], (None, None, 0), step, "scope", "string").select("doc", "seq", "scope")
 
 
 def stitch(tables: DataFrame) -> DataFrame:
@@ -228,6 +231,23 @@ def stitch(tables: DataFrame) -> DataFrame:
     return tables.withColumn("fresh", (~goes_on).cast("int")).select("doc", "seq", F.sum("fresh").over(order).cast("int").alias("chain"))
 
 
+def stitched(tables: DataFrame, head: int = 3) -> DataFrame:
+    """tables (doc, seq, page, columns, rows, text, at_top, at_bottom, flags): one row for each chain of stitch, with the text of its parts (of all
+    but the first without their first `head` lines: unit, header and separator; a part that has no more adds nothing), its first and last page, its rows, and the flag
+    cross_page where it has several parts."""
+    lines = F.split("text", "\n")
+    rest = F.array_join(F.slice(lines, head + 1, F.greatest(F.size(lines) - head, F.lit(0))), "\n")
+    part = tables.join(stitch(tables), ["doc", "seq"]).withColumn("rest", F.when(F.trim(rest) != "", rest))
+    listed = F.array_sort(F.collect_list(F.struct("seq", "text", "rest")))
+    grouped = part.groupBy("doc", "chain").agg(
+        listed.alias("ps"), F.min("seq").alias("seq"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.min_by("columns", "seq").alias("columns"), F.sum("rows").cast("int").alias("rows"),
+        F.min_by(F.coalesce("flags", F.array().cast("array<string>")), "seq").alias("flags"), F.count("*").alias("n"),
+    )
+    text = F.array_join(F.array_compact(F.concat(F.array(F.get("ps", F.lit(0))["text"]), F.transform(F.slice("ps", 2, F.greatest(F.size("ps") - 1, F.lit(0))), lambda p: p["rest"]))), "\n")
+    crossing = F.when(F.col("n") > 1, F.array_distinct(F.concat("flags", F.array(F.lit("cross_page"))))).otherwise(F.col("flags"))
+    return grouped.select("doc", "seq", "page_start", "page_end", "columns", "rows", crossing.alias("flags"), text.alias("text"))
+
+
 def numeric_columns(words: DataFrame, gap: float = X_TOLERANCE, hits: int = COLUMN_HITS) -> DataFrame:
     """words (page, x0, y0, x1, y1, word): clusters of the right edges of numbers, as (page, col from 1, left, right)."""
     numbers = words.where(F.col("word").rlike(r"^[-(（]?[0-9][0-9,]*\.?[0-9]*[)）%]?$"))
@@ -246,9 +266,12 @@ def rebuild_table(words: DataFrame, columns: DataFrame, tolerance: float = X_TOL
     # the columns of a page are few
     placed = words.join(several, "page", "left_semi").join(c, (F.col("page") == F.col("cp")) & (middle >= F.col("left") - tolerance) & (middle <= F.col("right") + tolerance), "left")
     one = placed.groupBy("page", "x0", "y0", "x1", "word").agg(F.coalesce(F.min("col"), F.lit(0)).alias("col"))
-    listed = one.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "word", "col"))).alias("ws"))
-    fold = f"""aggregate(ws, named_struct('y', cast(null as double), 'n', 0, 'out', cast(array() as array<int>)),
-      (a, w) -> named_struct('y', if(a.y is null or abs(w.y0 - a.y) > {row}, w.y0, a.y), 'n', a.n + if(a.y is null or abs(w.y0 - a.y) > {row}, 1, 0),
-        'out', array_append(a.out, a.n + if(a.y is null or abs(w.y0 - a.y) > {row}, 1, 0))))"""
-    lines = listed.select("page", F.explode(F.arrays_zip("ws", F.expr(fold)["out"].alias("line"))).alias("x")).select("page", "x.line", F.col("x.ws.col").alias("col"), F.col("x.ws.x0").alias("x0"), F.col("x.ws.word").alias("word"))
+
+    def step(state, y):
+        first, n = state
+        if first is None or abs(y - first) > row:
+            first, n = y, n + 1
+        return (first, n), n
+
+    lines = running(one, ["page"], ["y0", "x0", "word", "col"], ["y0"], (None, 0), step, "line", "int")
     return lines.groupBy("page", "line", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word"))), lambda w: w["word"]), " ").alias("text"))

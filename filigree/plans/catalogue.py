@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import dataset, documents, evaluation, maintenance, questions, retrieval, tables  # noqa: F401
+    from . import dataset, documents, evaluation, hits, maintenance, questions, retrieval, tables  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

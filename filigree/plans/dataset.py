@@ -39,6 +39,52 @@ def merge_eval_sets(spark, d):
     return S.merge(new, table(spark, d, "benchmark").select("text", F.lit("old").alias("origin")), "text")
 
 
+FULL = Fixture(
+    "doc string, code string, metric string, year int, value double, raw string, unit string, page int, heading string",
+    [("甲公司", "600001", m, y, v, r, "元", p, "主要会计数据") for m, y, v, r, p in (("总资产", 2023, 100.0, "100", 6), ("总资产", 2024, 125.0, "125", 7), ("总资产", 2025, 150.0, "150", 6), ("营业收入", 2025, 30.5, "30.5", 6), ("营业收入", 2023, 20.0, "20", 6), ("利润总额", 2024, 0.0, "0", 6), ("利润总额", 2025, 9.0, "9", 6))] + [("乙公司", "000002", "总资产", 2024, 50.0, "50", "万元", 3, "摘要")],
+)
+BOTH = Fixture("doc string, code string, metric string, year int, unit string, whole double, parent double, whole_raw string, parent_raw string, page int, page_end int", [("甲公司", "600001", "净利润", 2025, "元", 10.0, 7.0, "10", "7", 64, 66), ("乙公司", "000002", "净利润", 2024, "元", 5.0, 4.0, "5", "4", 30, None)])
+_FIELDS = "question, category, difficulty, ground_truth, numeric_value, unit, metric_name, array_to_string(expected_doc_keys, ',') AS expected_doc_keys, array_to_string(expected_pages, ',') AS expected_pages, source, verified, note"
+
+
+@query(
+    "full_items",
+    f"""WITH {FULL.sql('r')}, {BOTH.sql('s')}, l AS (SELECT *, max(year) OVER (PARTITION BY code) AS doc_year FROM r),
+w AS (SELECT *, lag(value) OVER x AS bv, lag(raw) OVER x AS br, lag(page) OVER x AS bp, lag(year) OVER x AS b_y, row_number() OVER (PARTITION BY code, metric ORDER BY year DESC) AS n FROM l WINDOW x AS (PARTITION BY code, metric ORDER BY year)),
+m AS (SELECT *, round((value - bv) / abs(bv) * 100, 2) AS pct FROM w WHERE n = 1 AND bv IS NOT NULL AND bv <> 0),
+z AS (SELECT *, '合并' AS sc, whole AS v, whole_raw AS raw, parent_raw AS other FROM s UNION ALL SELECT *, '母公司', parent, parent_raw, whole_raw FROM s),
+i AS (SELECT doc || year || '年' || metric || '是多少？' AS question, 'table' AS category, '单表直读' AS difficulty, raw || unit AS ground_truth, value AS numeric_value, unit, metric AS metric_name, [code || '_' || doc_year || '_annual'] AS expected_doc_keys, [page] AS expected_pages, 'auto_extracted' AS source, true AS verified, heading || ' 第' || page || '页，列头年份 ' || year AS note FROM l
+UNION ALL SELECT doc || year || '年' || metric || '比' || b_y || '年变化了百分之多少？', 'multihop', '跨列计算', '约' || pct || '%', pct, '%', metric || '同比', [code || '_' || doc_year || '_annual'], list_sort(list_distinct([page, bp])), 'auto_extracted', true, '(' || raw || ' - ' || br || ') / ' || br || ' = ' || pct || '%' FROM m
+UNION ALL SELECT doc || year || '年' || sc || '报表口径的' || metric || '是多少？', 'scope', '口径辨析', raw || unit, v, unit, sc || metric, [code || '_' || year || '_annual'], range(page, greatest(page, coalesce(page_end, 0)) + 1), 'auto_extracted', true, '第' || page || '页；另一口径为 ' || other || '，两者不可混用' FROM z)
+SELECT {_FIELDS} FROM i""",
+)
+def full_items(spark, d):
+    """Items with their twelve fields; caps are beyond what there is here (see draw_items)."""
+    join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return S.full_items(FULL.df(spark), BOTH.df(spark)).withColumn("expected_doc_keys", join("expected_doc_keys")).withColumn("expected_pages", join("expected_pages")).drop("doc")
+
+
+OUTSIDE = Fixture("company string, what string", [("甲公司", "2025年的营业收入"), ("丙公司", "2025年的净利润"), ("丁公司", "2025年的研发投入")])
+
+
+@query("refuse_items", f"WITH {OUTSIDE.sql('o')}, {FULL.sql('r')} SELECT company || what || '是多少？' AS question, 'refuse' AS category, '（应拒答）' AS ground_truth, 'manual' AS source, company || ' 不在已入库语料中，应明确说明未收录' AS note FROM o WHERE company NOT IN (SELECT doc FROM r)")
+def refuse_items(spark, d):
+    return S.refuse_items(OUTSIDE.df(spark), FULL.df(spark).select(F.col("doc").alias("name"))).select("question", "category", "ground_truth", "source", "note")
+
+
+@query("draw_items", "SELECT doc_id, lang, category FROM (SELECT doc_id, lang, source AS category, row_number() OVER (PARTITION BY lang, source ORDER BY md5('42-' || doc_id), doc_id) AS r FROM documents) WHERE r <= CASE category WHEN 'src0' THEN 12 WHEN 'src1' THEN 4 ELSE 2147483647 END")
+def draw_items(spark, d):
+    """Languages stand for companies, sources for categories: two of these have a cap, the others stay whole."""
+    items = table(spark, d, "documents").select("doc_id", "lang", F.col("source").alias("category"))
+    return S.draw(items, {"src0": 12, "src1": 4}, "lang", "doc_id")
+
+
+@query("item_subset", "SELECT doc_id FROM documents WHERE lang = 'de' ORDER BY doc_id LIMIT 25")
+def item_subset(spark, d):
+    """A category and a limit are the operator."""
+    return S.subset(table(spark, d, "documents").select("doc_id", F.col("lang").alias("category")), "de", 25, "doc_id").select("doc_id")
+
+
 @query("sample_items", "SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42-' || doc_id)) AS r FROM documents) WHERE r <= 12")
 def sample_items(spark, d):
     """A seeded sample of twelve a group is the operator."""
@@ -48,8 +94,8 @@ def sample_items(spark, d):
 SHEETS = Fixture(
     "id int, lines array<string>",
     [
-        (1, ["| 主要会计数据 | 2025年 | 2024年 | 本期比上年同期增减(%) | 2023年 |", "| --- | --- | --- | --- | --- |", "| 营业收入（元） | 168,838,102,514.79 | 170,899,152,276.34 | -1.21 | 147,693,604,994.14 |", "| 无关 | 1 | 2 | 3 | 4 |"]),
-        (2, ["|  |  | 2025 年 |  | 2024 年 | 2023 年 |", "|  | 总资产（千元） |  | 456,451,731 | 14.96 | 400,000,000 | 350,000,000 |"]),
+        (1, ["| 主要会计数据 | 2025年 | 2024年 | 本期比上年同期增减(%) | 2023年 |", "| --- | --- | --- | --- | --- |", "| 营业收入（元） | 4,321,098,765.40 | 4,000,111,222.33 | 8.02 | 3,777,666,555.44 |", "| 无关 | 1 | 2 | 3 | 4 |"]),
+        (2, ["|  |  | 2025 年 |  | 2024 年 | 2023 年 |", "|  | 总资产（千元） |  | 345,678,901 | 14.96 | 400,000,000 | 350,000,000 |"]),
         (3, ["| 项目 | 2025年 | 2024年 |", "|  |  | 调整后 | 调整前 |", "| 利润总额 | 1,000 | 900 | 890 |"]),
         (4, ["| 项目 | 本期 | 上期 |", "| 营业收入 | 1,000 | 900 |"]),
     ],

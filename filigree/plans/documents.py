@@ -80,6 +80,34 @@ def chunk_document(spark, d):
     return C.chunk_document(keyed).withColumn("digest", F.md5("content")).drop("content")
 
 
+TURNS = """b AS (SELECT 'k' || conv_id AS doc, CAST(turn AS INTEGER) AS seq, CASE WHEN role = 'system' THEN 'table' ELSE 'text' END AS kind, CASE WHEN length(text) > 400 THEN 'long' ELSE 'short' END AS heading, coalesce(text, '') AS text, CAST(turn // 3 + 1 AS INTEGER) AS page,
+  CASE WHEN turn % 4 = 0 THEN '元' END AS unit, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE turn IS NOT NULL),
+f AS (SELECT doc, seq, i, kind <> 'table' AS open, heading, CAST(length(text) AS BIGINT) AS chars, 0 AS parent FROM b WHERE i = 1
+UNION ALL SELECT b.doc, b.seq, b.i, b.kind <> 'table', CASE WHEN x.fresh THEN b.heading ELSE f.heading END, CAST(CASE WHEN x.fresh THEN 0 ELSE f.chars END + length(b.text) AS BIGINT), f.parent + CASE WHEN x.fresh THEN 1 ELSE 0 END
+  FROM f JOIN b ON b.doc = f.doc AND b.i = f.i + 1, LATERAL (SELECT b.kind = 'table' OR NOT f.open OR f.chars + length(b.text) > 3000 AS fresh) AS x),
+g AS (SELECT b.doc, f.parent, arg_min(kind, b.seq) AS kind, arg_min(b.heading, b.seq) AS heading, arg_min(CASE WHEN unit IS NULL THEN '-' ELSE unit END, b.seq) AS u, string_agg(text, chr(10) ORDER BY b.seq) AS text, min(page) AS page_start, max(page) AS page_end FROM b JOIN f ON f.doc = b.doc AND f.seq = b.seq GROUP BY 1, 2),
+cut AS (SELECT *, CASE WHEN kind = 'table' OR length(text) <= 512 THEN [text] ELSE list_filter(list_transform(range(0, length(text), 448), lambda i: substr(text, CAST(i AS BIGINT) + 1, 512)), lambda p: length(regexp_replace(p, '\\s', '', 'g')) > 0) END AS ps FROM g WHERE kind = 'text' OR length(text) <= 2048 OR length(text) - length(replace(text, chr(10), '')) < 3),
+each AS (SELECT doc, parent, kind, heading, u, page_start, page_end, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k FROM cut WHERE NOT (kind = 'text' AND length(regexp_replace(text, '\\s', '', 'g')) = 0)),
+kids AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc ORDER BY parent, k) - 1 AS INTEGER) AS seq, CASE WHEN starts_with(piece, heading) THEN piece ELSE heading || chr(10) || piece END AS body FROM each)"""
+
+
+@query(
+    "assemble_chunks",
+    f"""WITH RECURSIVE {TURNS} SELECT {UID.format('doc', 0, 'parent')} AS chunk_uid, doc AS doc_key, CAST(NULL AS VARCHAR) AS parent_uid, 0 AS level, CAST(parent AS INTEGER) AS seq, kind AS chunk_type, heading AS heading_path, page_start, page_end, nullif(u, '-') AS unit, {TOKENS.format('text')} AS token_count,
+md5(CASE WHEN starts_with(text, heading) THEN text ELSE heading || chr(10) || text END) AS digest FROM g
+UNION ALL SELECT {UID.format('doc', 1, 'seq')}, doc, {UID.format('doc', 0, 'parent')}, 1, seq, kind, heading, page_start, page_end, nullif(u, '-'), {TOKENS.format('body')}, md5(body) FROM kids""",
+)
+def assemble_chunks(spark, d):
+    """Turns stand for blocks of several headings, pages and units, system turns for tables."""
+    turns = table(spark, d, "conversations").select(
+        F.concat(F.lit("k"), F.col("conv_id").cast("string")).alias("doc_key"), F.col("turn").cast("int").alias("seq"), F.when(F.col("role") == "system", "table").otherwise("text").alias("kind"), "text",
+        F.when(F.length("text") > 400, "long").otherwise("short").alias("heading_path"), F.floor(F.col("turn") / 3 + 1).cast("int").alias("page_start"), F.floor(F.col("turn") / 3 + 1).cast("int").alias("page_end"), F.when(F.col("turn") % 4 == 0, "元").alias("unit"),
+        F.lit(None).cast("string").alias("currency"), F.lit(None).cast("string").alias("statement_type"), F.array().cast("array<string>").alias("flags"),
+    )
+    out = C.assemble(turns, "fixed")
+    return out.select("chunk_uid", "doc_key", "parent_uid", "level", "seq", "chunk_type", "heading_path", "page_start", "page_end", "unit", "token_count", F.md5("content").alias("digest"))
+
+
 @query("chunk_recursive")
 def chunk_recursive(spark, d):
     """Rows only: the splitter is a loop whose depth the text decides."""

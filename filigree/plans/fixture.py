@@ -45,4 +45,4 @@ class Fixture:
         """`name(columns) AS (...)`, for a WITH clause."""
         kinds = [k for _, k in self.columns]
         rows = ", ".join("(" + ", ".join(literal(v, k) for v, k in zip(r, kinds)) + ")" for r in self.rows)
-        return f"{name}({', '.join(c for c, _ in self.columns)}) AS (VALUES {rows})"
+        return f"{name}({', '.join(f'{chr(34)}{c}{chr(34)}' for c, _ in self.columns)}) AS (VALUES {rows})"

@@ -151,15 +151,6 @@ def entity_key(spark, d):
     return ASKED.df(spark).select("id", Q.entity_key(F.col("codes"), F.col("years"), F.col("question")).alias("entity"))
 
 
-@query("exact_cache_lookup", "WITH k AS (SELECT conv_id, turn, 'fc:ans:' || substr(sha256('exp04|' || role || '|' || regexp_replace(text, '^[\\s 　]+|[\\s 　]+$', '', 'g')), 1, 40) AS key FROM conversations) SELECT b.conv_id, b.turn, min(a.conv_id) AS entry FROM k b JOIN k a ON a.key = b.key AND a.conv_id < b.conv_id GROUP BY 1, 2")
-def exact_cache_lookup(spark, d):
-    """Turns stand for questions, roles for entities: a turn hits the cache if an earlier conversation had it. The first
-    conversation of a key answers for it, so a question that is asked everywhere costs one row each."""
-    turns = table(spark, d, "conversations").withColumn("key", Q.exact_key(F.lit("exp04"), F.col("role"), F.col("text")))
-    first = turns.groupBy("key").agg(F.min("conv_id").alias("entry"))
-    return turns.join(first, "key").where("conv_id > entry").select("conv_id", "turn", "entry").distinct()
-
-
 @query("semantic_cache", "WITH c AS (SELECT a.vec_id AS id, b.vec_id AS entry, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) SELECT id, arg_min(entry, struct_pack(s := -s, e := entry)) AS entry, round(max(s), 5) AS score FROM c GROUP BY 1 HAVING max(s) >= 0.3")
 def semantic_cache(spark, d):
     """Vectors stand for cached questions and labels for entity keys; questions are those whose id is divisible by 50."""

@@ -60,6 +60,27 @@ def filings(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", known.alias("m"), F.sha2("content", 256).alias("content_hash"), "length").select("path", "m.*", "content_hash", "length")
 
 
+def pdf_lines(spark: SparkSession, path: str, reader: Callable[[bytes, int], Iterator[tuple[int, int, str]]], max_pages: int | None = None) -> DataFrame:
+    """path, page, line_no, text of the first max_pages pages, by a reader (content, pages or 0 for all) that the caller brings."""
+
+    def of(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = [(p, *x) for p, content in zip(frame["path"], frame["content"]) for x in reader(content, max_pages or 0) if max_pages is None or x[0] <= max_pages]
+            yield pd.DataFrame(rows, columns=["path", "page", "line_no", "text"]).astype({"page": "int32", "line_no": "int32"})
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content").mapInPandas(of, "path string, page int, line_no int, text string")
+
+
+def mismatched(filings: DataFrame, lines: DataFrame, pages: int = 3) -> DataFrame:
+    """filings (path, code, company) whose first pages (path, page, line_no, text) name neither their code nor their company: fetched wrongly, to be
+    deleted."""
+    head = lines.where(F.col("page") <= pages).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "text"))), lambda x: x["text"]), "").alias("head"))
+    bare = F.regexp_replace(F.coalesce("head", F.lit("")), r"\s", "")
+    return filings.join(head, "path", "left").where(~F.contains(bare, F.col("code")) & ~F.contains(bare, F.col("company"))).select("path", "code", "company")
+
+
 def pdf_words(spark: SparkSession, path: str, reader: Callable[[bytes], Iterator[tuple[int, float, float, float, float, str]]]) -> DataFrame:
     """Words with their boxes, by a reader that the caller brings (no PDF library is part of this package)."""
 
