@@ -46,3 +46,23 @@ def test_tables_that_are_not_files_go_by_doc_id(spark, sf_dir):
 def test_licence_query_equals_its_sql(spark, sf_dir):
     got = queries.queries()["op7_license_digests"](spark, sf_dir).toArrow()
     assert rows(got) == rows(database(sf_dir).sql(queries.oracle_sql()["op7_license_digests"]).to_arrow_table()) and got.num_rows
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, key long, h string, pos int, _s string, _d long, _slot int, _kept int, _bad int, id int, score double"
+
+
+def test_stages_handle_what_may_come(spark, sf_dir):
+    """Nulls in any column, repeated rows, a very long and an empty text, clashing columns; and no rows at all."""
+    full = lambda i, t, s: (i, t, "en", s, len(t or ""), 1, "x", 2, "y", 3, 4, 5, 6, 7, 0.5)
+    rows = [full(k, f"a text of its own, number {k}, with word{k} and other{k} and more{k} of it", "s") for k in range(12)]
+    rows += [rows[3], rows[3], full(50, rows[4][1], "t"), full(51, "", "t"), full(52, None, None), full(None, "no number", "t"), full(None, None, None), full(53, "long " * 60_000, "s"), (54, "nothing else", *[None] * 13)]
+    docs = spark.createDataFrame(rows, CLASH)
+    for some in (docs, docs.limit(0)):
+        kept = some
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = materialise(stage(spark, kept, sf_dir), "test-stage")
+            assert kept.schema.names == docs.schema.names, name
+        ids = sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect())
+        assert ids == ([] if some is not docs else [(False, 0)] * 2 + [(True, k) for k in (*range(12), 51, 52, 53, 54)])
+        out = corpus_pipeline.write_tokens(spark, kept, sf_dir)
+        assert out.count() == len(ids) and (some is not docs or out.agg({"n_tokens": "max"}).first()[0] > 60_000)
