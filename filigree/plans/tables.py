@@ -1,5 +1,4 @@
-"""Table queries, on literal tables and lines, as the driver's text has no CJK and no grouped numbers. Folds have no SQL here;
-tests/test_tables.py holds their expected results."""
+"""Table queries, on literal tables and lines, as the driver's text has no CJK and no grouped numbers. Folds are recursive in SQL."""
 
 from __future__ import annotations
 
@@ -106,12 +105,12 @@ def _near(pattern: str) -> str:
     return f"list_filter(list_transform(list_reverse(above), lambda x: nullif(regexp_extract(x, '{pattern}', 1), '')), lambda x: x IS NOT NULL)[1]"
 
 
-@query(
-    "unit_cascade",
-    f"""WITH {GRIDS.sql('g')}, {FLAT}, {INLINE}, st AS (SELECT g.id, inl.unit AS a, {_near(UNIT_RE)} AS b, CASE WHEN {NUMERIC} THEN {_near(T.PROSE_UNIT)} END AS c, CASE WHEN {NUMERIC} THEN nullif(regexp_extract(page, '{T.AMOUNT_UNIT}', 1), '') END AS d,
-  CASE WHEN {NUMERIC} THEN nullif(regexp_extract(page, '{T.PROSE_UNIT}', 1), '') END AS e, CASE WHEN {NUMERIC} THEN inherited END AS f FROM g JOIN flat ON flat.id = g.id JOIN inl ON inl.id = g.id)
-SELECT id, coalesce(a, b, c, d, e, f) AS unit, CASE WHEN a IS NOT NULL THEN 'table_inline' WHEN b IS NOT NULL THEN 'above' WHEN c IS NOT NULL THEN 'prose_above' WHEN d IS NOT NULL THEN 'page' WHEN e IS NOT NULL THEN 'prose_page' WHEN f IS NOT NULL THEN 'inherited' END AS source FROM st""",
-)
+CASCADE = f"""st AS (SELECT g.id, inl.unit AS a, {_near(UNIT_RE)} AS b, CASE WHEN {NUMERIC} THEN {_near(T.PROSE_UNIT)} END AS c, CASE WHEN {NUMERIC} THEN nullif(regexp_extract(page, '{T.AMOUNT_UNIT}', 1), '') END AS d,
+  CASE WHEN {NUMERIC} THEN nullif(regexp_extract(page, '{T.PROSE_UNIT}', 1), '') END AS e, CASE WHEN {NUMERIC} THEN inherited END AS f FROM g JOIN flat ON flat.id = g.id JOIN inl ON inl.id = g.id),
+u AS (SELECT id, coalesce(a, b, c, d, e, f) AS unit, CASE WHEN a IS NOT NULL THEN 'table_inline' WHEN b IS NOT NULL THEN 'above' WHEN c IS NOT NULL THEN 'prose_above' WHEN d IS NOT NULL THEN 'page' WHEN e IS NOT NULL THEN 'prose_page' WHEN f IS NOT NULL THEN 'inherited' END AS source FROM st)"""
+
+
+@query("unit_cascade", f"WITH {GRIDS.sql('g')}, {FLAT}, {INLINE}, {CASCADE} SELECT id, unit, source FROM u")
 def unit_cascade(spark, d):
     return GRIDS.df(spark).select("id", O.resolve_unit(F.col("rows"), F.col("above"), F.col("page"), F.col("inherited")).alias("u")).select("id", "u.unit", "u.source")
 
@@ -166,9 +165,25 @@ def summary_table(spark, d):
     return GRIDS.df(spark).select("id", O.is_summary(F.col("heading"), F.col("caption"), F.col("rows")).alias("summary"))
 
 
-@query("render_table")
+_LINE = "'| ' || array_to_string({0}, ' | ') || ' |'"
+
+
+@query(
+    "render_table",
+    f"""WITH {GRIDS.sql('g')}, {FLAT}, {INLINE}, {CASCADE},
+w AS (SELECT g.id, caption, heading, u.unit, list_transform(rows, lambda r: list_transform(r, lambda c: {NORM.format('c')})) AS rs, list_max(list_transform(rows, lambda r: len(r))) AS width FROM g JOIN u ON u.id = g.id),
+f AS (SELECT *, list_transform(rs, lambda r: list_concat(r, list_transform(range(width - len(r)), lambda x: ''))) AS full_ FROM w),
+h AS (SELECT *, len(list_filter(full_[1], lambda c: c <> '')) = 0 AS blank FROM f),
+b AS (SELECT id, caption, heading, unit, width, CASE WHEN blank THEN list_transform(range(1, width + 1), lambda i: '列' || i) ELSE full_[1] END AS header, CASE WHEN blank THEN full_ ELSE full_[2:] END AS body FROM h),
+hc AS (SELECT id, unnest(header) AS c, generate_subscripts(header, 1) AS i FROM b), y AS (SELECT id, i, TRY_CAST(regexp_extract(c, '{T.YEAR}', 1) AS INT) AS year FROM hc WHERE regexp_matches(c, '{T.YEAR}') AND NOT regexp_matches(c, '{T.NOT_A_YEAR_COLUMN}')),
+ok AS (SELECT id FROM y GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT year) = count(*)), br AS (SELECT id, unnest(body[1:24]) AS r, generate_subscripts(body[1:24], 1) AS n FROM b WHERE id IN (SELECT id FROM ok)),
+yl AS (SELECT br.id, n, list_filter(any_value(r), lambda c: c <> '')[1] AS name, string_agg(year || '年=' || r[i], '；' ORDER BY year DESC, i DESC) AS parts, count(*) AS k FROM br JOIN y ON y.id = br.id WHERE regexp_matches(replace(coalesce(r[i], ''), ' ', ''), '{T.NUMERIC_CELL}') GROUP BY 1, 2),
+ys AS (SELECT id, list('【按年份】' || name || '：' || parts ORDER BY n) AS ls FROM yl WHERE k >= 2 AND name IS NOT NULL AND NOT regexp_matches(name, '{T.YEAR}') GROUP BY 1)
+SELECT b.id, array_to_string(list_concat(list_filter(['【单位：' || unit || '】', coalesce(caption, CASE WHEN coalesce(heading, '') <> '' THEN string_split(heading, ' > ')[-1] END)], lambda x: x IS NOT NULL),
+  [{_LINE.format('header')}, '|' || array_to_string(list_transform(range(width), lambda x: ' --- '), '|') || '|'], list_transform(body, lambda r: {_LINE.format('r')}), CASE WHEN ls IS NULL THEN [] ELSE list_concat([''], ls) END), chr(10)) AS text FROM b LEFT JOIN ys ON ys.id = b.id""",
+)
 def render_table(spark, d):
-    """Rows only; tests/test_tables.py has the expected Markdown."""
+    """Markdown with unit, title and years; tests/test_tables.py has some of it written out."""
     g = GRIDS.df(spark).withColumn("u", O.resolve_unit(F.col("rows"), F.col("above"), F.col("page"), F.col("inherited")))
     return g.select("id", O.render(F.col("rows"), F.col("u.unit"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("caption"), F.col("heading")).alias("text"))
 
@@ -190,9 +205,23 @@ WRAPPED = Fixture(
 )
 
 
-@query("merge_wrapped_labels")
+
+
+_VALUE = f"regexp_matches(c, '{T.VALUE_CELL}')"
+_WRAPPED = f"""len(list_filter(f.last, lambda c: {_VALUE})) > 0 AND len(list_filter(o.r, lambda c: c <> '')) BETWEEN 1 AND 2 AND len(list_filter(o.r, lambda c: c <> '' AND NOT regexp_matches(c, '{T.CJK}'))) = 0
+  AND len(list_filter(o.r, lambda c: {_VALUE})) = 0 AND len(list_filter(f.last, lambda c: c <> '' AND NOT {_VALUE})) > 0"""
+_LABEL = f"list_position(list_transform(f.last, lambda c: c <> '' AND NOT {_VALUE}), true)"
+
+
+@query(
+    "merge_wrapped_labels",
+    f"""WITH RECURSIVE {WRAPPED.sql('t')}, o AS (SELECT id, list_transform(unnest(rows), lambda c: {NORM.format('c')}) AS r, generate_subscripts(rows, 1) AS i FROM t),
+f AS (SELECT id, i, 1 AS n, r AS last FROM o WHERE i = 1 UNION ALL SELECT o.id, o.i, f.n + CASE WHEN {_WRAPPED} THEN 0 ELSE 1 END,
+  CASE WHEN {_WRAPPED} THEN list_transform(f.last, lambda c, k: CASE WHEN k = {_LABEL} THEN c || array_to_string(list_filter(o.r, lambda x: x <> ''), '') ELSE c END) ELSE o.r END FROM f JOIN o ON o.id = f.id AND o.i = f.i + 1),
+z AS (SELECT id, n, arg_max(last, i) AS r FROM f GROUP BY 1, 2) SELECT id, list(r ORDER BY n) AS rows FROM z GROUP BY 1""",
+)
 def merge_wrapped_labels(spark, d):
-    """Rows only: a fold over rows that looks at what it has made; tests/test_tables.py has the expected tables."""
+    """Labels that were broken over rows; tests/test_tables.py has some of the tables written out."""
     clean = WRAPPED.df(spark).withColumn("rows", O.clean_rows(F.col("rows")))
     return clean.select("id", O.merge_wrapped_labels("rows").alias("rows"))
 
