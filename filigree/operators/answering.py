@@ -35,8 +35,11 @@ def answers(questions: DataFrame, chunks: DataFrame, corpus: DataFrame, top_n: i
     scored = scores.join(meta, "id").join(filters, "qid").where((F.size("codes") == 0) | F.array_contains("codes", F.col("company_code")))
     narrow = scored.where((F.size("filed") == 0) | F.array_contains("filed", F.col("report_year")))
     again = lambda df: R.top(df.select("qid", "id", "score"), "qid", F.round("score", 6), top_n)
-    first, second = again(narrow), again(scored)
-    verdict = R.gate(R.relevance(words, first), R.relevance(words, second), threshold)
+    first = again(narrow)
+    passed = R.relevance(words, first)
+    failing = passed.where(F.col("relevance") < threshold).select("qid")  # only these are looked for again
+    second = again(scored.join(failing, "qid", "left_semi"))
+    verdict = R.gate(passed, R.relevance(words, second), threshold)
     chosen = first.join(verdict.where("verdict = 'generate'").select("qid"), "qid").unionByName(second.join(verdict.where("verdict = 'retry_generate'").select("qid"), "qid"))
     lines = chosen.where("rank <= 3").join(chunks.select("id", "text"), "id").join(words.select("qid", F.col("text").alias("q")), "qid").select("qid", "rank", "q", F.explode(F.split("text", "\n")).alias("line"))
     share = F.size(F.array_intersect(R.words(F.col("q")), R.words(F.col("line"))))

@@ -75,6 +75,15 @@ def own_aliases(corpus: DataFrame) -> DataFrame:
     return each.groupBy("alias").agg(F.min("code").alias("code"), F.count("*").alias("n")).where("n = 1").select("alias", "code")
 
 
+def containing(texts: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
+    """texts with the rows of words whose word stands in their text, once each: the text's pieces of the lengths that words have meet them by
+    hash, so nothing is compared with everything. Lengths are few."""
+    lengths = sorted(r[0] for r in words.where(F.length(word) > 0).select(F.length(word)).distinct().collect())
+    piece = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    pieces = F.array_distinct(F.concat(F.array().cast("array<string>"), *(piece(n) for n in lengths)))
+    return texts.withColumn("_piece", F.explode(pieces)).join(words.withColumn("_piece", F.col(word)), "_piece").drop("_piece")
+
+
 def resolve(asked: DataFrame, corpus: DataFrame) -> DataFrame:
     """asked (id, question, history, codes, names; what a model took from the question): id, codes that the user's own words bear out. A code
     must be known and be written; a name counts as a code, as an alias, or by the first alias that it contains or is in; then
@@ -88,12 +97,14 @@ def resolve(asked: DataFrame, corpus: DataFrame) -> DataFrame:
     names = base.select("id", "hay", "written", F.explode("names").alias("name")).select("id", "hay", "written", F.trim("name").alias("name")).where("name <> ''")
     as_code = names.join(known, names["name"] == known["code"]).select("id", "hay", "written", "code")
     other = names.join(known.withColumnRenamed("code", "name"), "name", "left_anti")
-    # the alias table is as large as the corpus has companies; a name meets it by containment, which no hash can do
-    near = other.join(alias, (F.col("name") == F.col("alias")) | F.contains("name", "alias") | F.contains("alias", "name"))
+    within = containing(other, "name", alias, "alias").select("id", "hay", "written", "name", "alias", "code")
+    around = containing(alias, "alias", other.select("name").distinct(), "name").join(other, "name").select("id", "hay", "written", "name", "alias", "code")
+    near = within.union(around).distinct()
     order = Window.partitionBy("id", "name").orderBy((F.col("name") != F.col("alias")), F.desc(F.length("alias")), "alias")
     by_name = near.withColumn("r", F.row_number().over(order)).where("r = 1").select("id", "hay", "written", "code")
     found = by_code.select("id", "hay", "written", "code").union(as_code).union(by_name).distinct()
-    borne = found.join(alias.withColumnRenamed("code", "acode"), (F.col("code") == F.col("acode")) & F.contains("hay", "alias"), "left").where(F.col("acode").isNotNull() | F.array_contains("written", F.col("code")))
+    named = found.join(alias, "code").where(F.contains("hay", "alias")).select("id", "code")
+    borne = named.union(found.where(F.array_contains("written", F.col("code"))).select("id", "code"))
     codes = borne.groupBy("id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
     return asked.select("id").join(codes, "id", "left").select("id", F.coalesce("codes", F.array().cast("array<string>")).alias("codes"))
 
@@ -104,7 +115,7 @@ def rule_analysis(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     alias = own_aliases(corpus.select("code", "name"))
     known = corpus.select("code").distinct()
     written = questions.select("id", F.explode(F.regexp_extract_all("question", F.lit(CODE), F.lit(0))).alias("code")).join(known, "code", "left_semi")
-    named = questions.join(F.broadcast(alias), F.contains("question", "alias")).select("id", "code")
+    named = containing(questions.select("id", "question"), "question", alias, "alias").select("id", "code")
     codes = written.select("id", "code").union(named).groupBy("id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
     covered = corpus.select(F.explode(F.sequence(F.col("year") - 2, F.col("year"))).alias("year")).distinct()
     years = questions.select("id", F.explode(F.regexp_extract_all("question", F.lit(YEAR), F.lit(1))).alias("y")).select("id", F.col("y").cast("int").alias("year")).join(covered, "year", "left_semi")
