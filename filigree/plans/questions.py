@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import answering
 from ..operators import questions as Q
 from .catalogue import query, table
 from .fixture import Fixture
@@ -190,6 +191,22 @@ def agent_guardrails(spark, d):
     return RUNS.df(spark).select("id", Q.guardrail(F.col("steps"), F.col("errors"), F.col("cost")).alias("forced"))
 
 
+SAID = Fixture("id int, verdict string, answer string, citations array<long>", [(1, "generate", "营收 1 亿[1]。利润不变[2]！\n完", [7, 9]), (2, "refuse", "所提供资料中未找到相关数据。", []), (3, "retry_generate", "一句", [4]), (4, "generate", "", [])])
+_EVENT = "struct_pack(event := '{0}', data := CAST(to_json(struct_pack({1} := {2})) AS VARCHAR))"
+
+
+@query(
+    "answer_events",
+    f"""WITH {SAID.sql('s')}, e AS (SELECT id, list_concat([{', '.join(_EVENT.format('stage', 'stage', f"'{x}'") for x in ('analyse', 'retrieve', 'answer'))}],
+  list_transform(list_filter(regexp_extract_all(answer, '[^。！？\n]+[。！？\n]*'), lambda x: x <> ''), lambda x: {_EVENT.format('token', 'text', 'x')}),
+  CASE WHEN verdict <> 'refuse' AND len(citations) > 0 THEN [{_EVENT.format('citations', 'ids', 'citations')}] ELSE [] END, [{_EVENT.format('done', 'verdict', 'verdict')}]) AS es FROM s),
+u AS (SELECT id, unnest(es) AS x, CAST(generate_subscripts(es, 1) AS INTEGER) AS seq FROM e) SELECT id, seq, x.event AS event, x.data AS data FROM u""",
+)
+def answer_events(spark, d):
+    """What is sent to whoever asked, in order."""
+    return answering.events(SAID.df(spark)).select("id", F.explode("events").alias("e")).select("id", "e.seq", "e.event", "e.data")
+
+
 NUMBERS = Fixture("id int, value double", [(1, 1234567.891), (2, 999.99999), (3, 0.5), (4, -12.34567), (5, 1000.0), (6, 3.0), (7, 0.00004), (8, -98765.4)])
 
 
