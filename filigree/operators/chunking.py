@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_uid, est_tokens
+from ..sources.shared import spread
 from .folds import running
 from .tables import split_table
 
@@ -23,7 +24,7 @@ def fixed_pieces(text: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -
 
 def chunk_fixed(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, seq (from 0), piece."""
-    return docs.select("doc_id", F.posexplode(fixed_pieces(F.col("text"), size, overlap)).alias("seq", "piece"))
+    return spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(fixed_pieces(F.col("text"), size, overlap)).alias("seq", "piece"))
 
 
 def group_parents(blocks: DataFrame, by_heading: bool = True, limit: int = PARENT_CHARS) -> DataFrame:
@@ -138,4 +139,4 @@ def recursive_pieces(size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> Callable
 
 def chunk_recursive(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, seq, piece; rows that repeat a doc_id are numbered each by itself, and so are those without one."""
-    return docs.select("doc_id", F.posexplode(recursive_pieces(size, overlap)(F.col("text"))).alias("seq", "piece"))
+    return spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(recursive_pieces(size, overlap)(F.col("text"))).alias("seq", "piece"))

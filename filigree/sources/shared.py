@@ -54,6 +54,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer parts than there are cores (a small file of one row group, say) is dealt to all of them before work that costs more than the
+    dealing; any other stays as it is, so a large table is never shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of materialised tables that nothing reads any more."""
     for df in tables:
