@@ -8,14 +8,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.shared import discard, fresh_path, materialise, shared_dir
+from ..sources.shared import discard, fresh_path, materialise, shared_dir, spread
 
-__all__ = ["by_bytes", "discard", "fresh_path", "materialise", "shared_dir", "table"]
+__all__ = ["by_bytes", "discard", "fresh_path", "materialise", "shared_dir", "spread", "table"]
+
+#: Tables of long texts.
+TEXTS = ("documents", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the corpus."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the corpus; texts that come in few parts are dealt to all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20, rows: int = 512) -> Iterator[pa.RecordBatch]:
