@@ -16,8 +16,9 @@
    over the shingles of such documents. Let a shingle be rare if at most RARE documents have it, of those that bucket pivots
    connect with this one. Partners share a shingle that comes early, in the order of (documents, hash), in both sets: within
    the first n - 0.8 n + 1. If the first one that they share is rare, a join on rare early shingles meets them, with at
-   most RARE partners for a shingle; if not, no more than their shingles that are not rare are common, and of the pairs of a
-   bucket only those that can reach the threshold with these are looked at.
+   most RARE partners for a shingle; if not, no more than their shingles that are not rare are common: only documents with four
+   fifths of such shingles are paired in a bucket, with those of near sizes, and of these pairs only those that can reach the
+   threshold are looked at.
 
 A pair at the threshold misses all bands with probability (1 - 0.8^6)^32 < 0.0001, at 0.9 < 1e-10.
 
@@ -26,7 +27,7 @@ most 32 n pairs, most of which the distinct removes.
 
 Defined cases: a null text, or one without words, has the empty set and is linked with nothing; a text with fewer words
 than a shingle has its whole sequence as one; rows that repeat a doc_id come back once each, as one document (if their
-texts differ, one of them speaks for it in step 5); rows with a null doc_id come back unlinked, with component null; other columns are
+texts differ, the one with the least hash speaks for it in steps 4 and 5); rows with a null doc_id come back unlinked, with component null; other columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -178,7 +179,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -
     buckets = materialise(in_band.groupBy("key").agg(drawn.alias("pivot"), F.count("*").alias("c")).where("c > 1").select("key", F.col("pivot.id").alias("pivot")), "buckets")
     fellow = materialise(in_band.join(buckets, "key"), "fellows")
     ids = fellow.select(F.col("id").alias("doc_id")).distinct()
-    sets = materialise(docs.join(ids, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "id long, members binary"), "sets")
+    one_text = docs.join(ids, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sets = materialise(one_text.mapInArrow(_sets(shingle), "id long, members binary"), "sets")
     left = classes.select(F.col("id").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))
     right = left.toDF("b", "m", "t")
 
@@ -222,11 +224,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -
         held = rare.groupBy("id").agg(F.count("*").alias("e"))
         one = materialise(one.join(held, "id", "left").withColumn("few", F.col("n") - F.coalesce("e", F.lit(0))).drop("e"), "one")
         # pairs of a bucket that need no rare shingle, each in the first bucket that both are in; two strays meet twice, so only once here
-        members = full.select("key", "id", "main").join(one, "id").join(classes.select("id", "bands"), "id")
-        stray = members.where("component <> main").select("key", F.col("id").alias("i"), "n", "s", F.col("few").alias("x"), F.col("component").alias("own"), F.col("bands").alias("p"))
-        other = members.select("key", F.col("id").alias("j"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("few").alias("y"), "component", "main", F.col("bands").alias("q"))
+        # partners have all that they share, so a share of `percent` of each, in shingles that are not rare, and sizes that differ by less than two steps
+        common = one.where(f"100 * few >= {percent} * n").withColumn("step", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int"))
+        members = full.select("key", "id", "main").join(common, "id").join(classes.select("id", "bands"), "id")
+        stray = members.where("component <> main").select("key", F.explode(F.expr("sequence(step - 1, step + 1)")).alias("step"), F.col("id").alias("i"), "n", "s", F.col("few").alias("x"), F.col("component").alias("own"), F.col("bands").alias("p"))
+        other = members.select("key", "step", F.col("id").alias("j"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("few").alias("y"), "component", "main", F.col("bands").alias("q"))
         reach = f"100 * least(x, y) >= {percent} * (n + m - least(x, y)) and {_possible(percent)} and array_min(array_intersect(p, q)) = key"
-        met = stray.join(other, "key").where("own <> component and (component = main or i < j)").where(reach).select("i", "j")
+        met = stray.join(other, ["key", "step"]).where("own <> component and (component = main or i < j)").where(reach).select("i", "j")
         # pairs with a rare shingle early in both; the first that two share leaves room for enough more after it
         early = rare.join(one, "id").withColumn("rank", F.expr("row_number() over (partition by id order by c, h)")).where(f"c > 1 and rank <= n - ceil({percent} * n / 100) + 1")
         stray = early.where("stray").select("coarse", "h", F.col("id").alias("i"), "n", "s", F.col("component").alias("own"), F.col("rank").alias("x"))
