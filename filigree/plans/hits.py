@@ -13,7 +13,8 @@ from .catalogue import query, table
 from .retrieval import HYBRID, WORDS, hybrid, item_vectors, questions, vectors
 from .retrieval import chunks as plain
 
-FILTERS = H.Filters(company_codes=["src0", "src1"], years=[2024])
+COMPANIES = [f"src{k}" for k in range(16)]
+FILTERS = H.Filters(company_codes=COMPANIES, years=[2023])
 NAMED = "'{0}' || lpad(CAST({1} AS VARCHAR), 9, '0')"
 
 
@@ -54,7 +55,7 @@ sc AS (SELECT q.qid, post.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM sc) WHERE rank <= {k})"""
 
 
-NARROW = "company_code IN ('src0', 'src1') AND report_year IN (2024, 2025, 2026)"
+NARROW = f"company_code IN ({', '.join(repr(c) for c in COMPANIES)}) AND report_year IN (2023, 2024, 2025)"
 
 
 def narrow_hits(spark, d, k):
