@@ -15,7 +15,7 @@ logarithm of its clauses' sum and of its length.
 
 Lexicon. A fixed list of plain insults, and what labelled texts teach: words, and stems (prefixes of 4 to 8 bytes, for
 languages that inflect), whose share of toxic texts is larger than that of others beyond doubt (by the log odds ratio, which is
-the weight, and its lower bound). At most FIT_ROWS labelled documents, the first by hash of doc_id, are used for it and for the logistic, each
+the weight, and its lower bound). At most FIT_ROWS labelled documents, drawn by hash of doc_id, are used for it and for the logistic, each
 different text once with each label; every text is scored. Only the text is ever an input of a score.
 
 Defined cases: a null or empty text has no clause and gets the score of such; labels that are null count as none; a doc_id
@@ -270,7 +270,11 @@ def fit(docs: DataFrame, labels: DataFrame, training: str, rows: int = FIT_ROWS)
     """A grammar from the labelled texts whose doc_id meets the SQL condition `training`."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     marks = marks.where(training).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    n = marks.count()
+    if not n:
+        return Grammar()
+    # the condition on doc_id goes to the texts, too, so that few are shuffled; the limit cuts what is drawn beyond the mean
+    marks = marks.where(f"pmod(xxhash64(doc_id), {n}) < {rows}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     sample = texts.join(marks, "doc_id").select("text", F.expr("int(toxic > 0)").alias("toxic")).distinct()
     counted = sample.mapInArrow(_features, "feature binary, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
