@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from .words import WORD_BASE_2, U, Words, grams, mix, signed, slices, window_min
 
 BLOCK, GRAM = 50, 16
+#: Tasks that the copies of one text are dealt to.
+SALTS = 8
 
 
 def _once(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -137,8 +139,8 @@ def parse(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, i
             return factors
 
 
-#: Of a block that an earlier document has: where it starts, and where the same starts first.
-PLACE = ("pos", "ref_doc", "ref_pos")
+#: Of a block that an earlier document has: where it starts (the high half) and where the same starts first, and in which document.
+PLACE = ("at", "ref_doc")
 _FACTOR = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())])
 
 
@@ -147,15 +149,15 @@ def _cut(block: int):
     span_type = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def everywhere(buf: np.ndarray, bounds: np.ndarray, starts: list[pa.Array]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text the positions of all blocks that equal one of those in `starts` (position, reference document and position), with
-        the places of these."""
+        """For each text the positions of all blocks that equal one of those in `starts` (as PLACE has them), with the places of these."""
         words = Words(buf, bounds, lower=False)
         h, h2, at = _both(words, block)
         owner = words.owners()[at] if len(at) else at
         one = mix(h ^ mix(h2)) + owner.astype(U) * U(0x9E3779B97F4A7C15)  # within a text
         place = np.zeros(len(words.hash), np.int64)
         place[at] = np.arange(len(at))
-        pos, doc, ref = (np.asarray(x.flatten(), np.int64) for x in starts)
+        both, doc = (np.asarray(x.flatten(), np.int64) for x in starts)
+        pos, ref = both >> 32, both & 0xFFFFFFFF
         marked = place[pos + np.repeat(words.first[:-1], np.asarray(starts[0].value_lengths().fill_null(0), np.int64))]
         by = np.argsort(one[marked], kind="stable")
         marked, doc, ref = marked[by], doc[by], ref[by]
@@ -208,7 +210,9 @@ def substring_dedup(docs: DataFrame, block: int = BLOCK, gram: int = GRAM) -> Da
     keyed = docs.where("doc_id is not null").withColumn("key", F.xxhash64("text")).withColumn("key2", F.xxhash64(F.lit(block), "text"))
     # a text that an earlier document has whole has nothing of its own: it takes part in no parse
     texts = keyed.groupBy("key", "key2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    copies = keyed.select("doc_id", "key", "key2").join(texts.select("key", "key2", "a"), ["key", "key2"]).where("doc_id > a").groupBy("doc_id", "key").agg(F.min("a").alias("copy"))
+    salted = texts.select("key", "key2", "a", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = keyed.select("doc_id", "key", "key2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    copies = dealt.join(salted, ["key", "key2", "salt"]).where("doc_id > a").groupBy("doc_id", "key").agg(F.min("a").alias("copy"))
     every = keyed.drop("key2").repartition("doc_id", "key").join(copies, ["doc_id", "key"], "left")
     rows = every.where("copy is null").drop("copy")
     at = "doc_id long, key long, pos int, h long"
@@ -218,8 +222,9 @@ def substring_dedup(docs: DataFrame, block: int = BLOCK, gram: int = GRAM) -> Da
     blocks = rows.join(positions, ["doc_id", "key"]).mapInArrow(_blocks(block, gram), f"{at}, h2 long")
     place = F.min(F.struct(F.col("doc_id").alias("ref_doc"), F.col("pos").alias("ref_pos")))
     first = blocks.groupBy("h", "h2").agg(place.alias("a"), F.max("doc_id").alias("b")).where("a.ref_doc < b").select("h", "h2", "a.*")
-    # three lists in one order, as they take the least room
-    repeated = blocks.join(first, ["h", "h2"]).where("doc_id > ref_doc").groupBy("doc_id", "key").agg(*(F.collect_list(c).alias(c) for c in PLACE))
+    # plain rows are shuffled: lists of the few that meet by hash would take more room
+    places = blocks.join(first, ["h", "h2"]).where("doc_id > ref_doc").select("doc_id", "key", F.expr("shiftleft(bigint(pos), 32) | ref_pos").alias("at"), "ref_doc")
+    repeated = places.repartition("doc_id", "key").groupBy("doc_id", "key").agg(*(F.collect_list(c).alias(c) for c in PLACE))
     whole = every.join(repeated, ["doc_id", "key"], "left").drop("key")
     # a null id is earlier than none and later than none
     rest = docs.where("doc_id is null").withColumn("copy", F.lit(None).cast("long")).select("*", *(F.lit(None).cast(dict(repeated.dtypes)[c]).alias(c) for c in PLACE))

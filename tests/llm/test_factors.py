@@ -47,7 +47,7 @@ def test_a_collision_of_one_hash_removes_nothing(monkeypatch):
     """Two different blocks with one first hash: the second tells them apart."""
     monkeypatch.setattr(words.Words, "spans", lambda self, start, end, lower: np.full(len(start), 5, np.uint64))
     text = " ".join(f"w{k}" for k in range(12))
-    place = [pa.array([[0]], pa.list_(pa.int32())), pa.array([[1]], pa.list_(pa.int64())), pa.array([[3]], pa.list_(pa.int32()))]
+    place = [pa.array([[0 << 32 | 3]], pa.list_(pa.int64())), pa.array([[1]], pa.list_(pa.int64()))]
     batch = pa.RecordBatch.from_arrays([pa.array([2]), pa.array([text]), *place, pa.array([None], pa.int64())], ["doc_id", "text", *sd.PLACE, "copy"])
     (out,) = sd._cut(4)(iter([batch]))
     assert out.column("spans").to_pylist() == [[{"start": 0, "end": 4}]]
