@@ -13,7 +13,8 @@ bits where the vocabulary allows it.
 
 Exact encoding at low cost. Byte-level BPE encodes each piece of its pre-tokenisation alone. A text is cut before every
 run of non-space characters with its leading space, before every run of other white space, and between a letter and a
-following mark, which are places where that pre-tokenisation always cuts; each different piece goes through the tokenizers library once for a worker (a
+following mark, which are places where that pre-tokenisation always cuts. That is done on the bytes of a whole slice of texts, and
+Arrow finds its different pieces, so that Python has no object for a word. Each different piece goes through the tokenizers library once for a worker (a
 bounded cache), and a text's ids are gathered from the table. Tokenizers of another kind encode whole texts.
 
 Scale and recovery. Texts are range-partitioned by their place, each task writes one file (in row groups; a task holds one
@@ -28,8 +29,9 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import by_bytes, fresh_path, table
+from .words import slices
 
 SEQUENCE, BATCH, END_ID = 2048, 64, 0
 #: Pieces that a worker remembers, at most, and between tasks.
@@ -49,18 +52,6 @@ def _file_system(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-class _Numbers(dict):
-    """Numbers pieces as they are first asked for."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        self.new.append(piece)
-        return n
-
-
 class _Growing:
     """An array that is appended to."""
 
@@ -74,10 +65,58 @@ class _Growing:
         self.n += len(values)
 
 
-# Unicode's White_Space
-_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+def _these(*ranges: tuple[int, int]) -> np.ndarray:
+    """A table of bytes: those from one to the other of each pair."""
+    out = np.zeros(256, bool)
+    for low, high in ranges:
+        out[low : high + 1] = True
+    return out
+
+
+# Unicode's White_Space: of one byte, and the first bytes of the others
+_SPACE, _SPACE_LEAD = _these((9, 13), (32, 32)), _these((0xC2, 0xC2), (0xE1, 0xE3))
 # A letter and then one of these marks: the pre-tokenisation always cuts between them, too.
-_LETTER, _MARK = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", "!#$%&*,.:;?"
+_LETTER, _MARK = _these((65, 90), (97, 122)), np.isin(np.arange(256), list(b"!#$%&*,.:;?"))
+
+
+def _spaces(raw: np.ndarray) -> np.ndarray:
+    """The bytes of white space in UTF-8."""
+    space = _SPACE[raw]
+    k = np.flatnonzero(_SPACE_LEAD[raw])
+    if len(k):
+        x, y, z = raw[k], raw[np.minimum(k + 1, len(raw) - 1)], raw[np.minimum(k + 2, len(raw) - 1)]
+        two = k[(x == 0xC2) & ((y == 0x85) | (y == 0xA0))]
+        three = (x == 0xE1) & (y == 0x9A) & (z == 0x80) | (x == 0xE3) & (y == 0x80) & (z == 0x80)
+        three |= (x == 0xE2) & ((y == 0x80) & ((z >= 0x80) & (z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF)) | (y == 0x81) & (z == 0x9F))
+        three = k[three]
+        space[two], space[two + 1] = True, True
+        space[three], space[three + 1], space[three + 2] = True, True, True
+    return space
+
+
+def cuts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the pieces begin in the bytes of some texts; text i has those from bounds[i] to bounds[i + 1]."""
+    n = len(raw)
+    if not n:
+        return np.zeros(0, np.int64)
+    edge = np.zeros(n + 1, bool)
+    edge[bounds] = True
+    space = _spaces(raw)
+    cut = edge[:n].copy()
+    cut[1:] |= space[1:] & ~space[:-1]
+    # the last space before other characters stands apart from those before it, and leads the word if it is a plain one
+    last = space[:-1] & ~space[1:] & ~edge[1:n]
+    cut[1:] |= last & (raw[:-1] != 0x20)
+    letter = _LETTER[raw]
+    if raw.max() < 0x80:
+        cut[:-1] |= last
+    else:
+        cut[:-1] |= last & (raw[:-1] < 0x80)
+        k = np.flatnonzero(last & (raw[:-1] >= 0x80))
+        cut[np.where(raw[k - 1] == 0xC2, k - 1, k - 2)] = True
+        letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    cut[1:] |= letter[:-1] & _MARK[raw[1:]]
+    return np.flatnonzero(cut)
 
 
 class Encoder:
@@ -86,7 +125,6 @@ class Encoder:
     def __init__(self, path: str) -> None:
         import json
         import os
-        import re
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
@@ -96,8 +134,7 @@ class Encoder:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.cut = re.compile(f" ?[^{_SPACE}{_MARK}]+(?<=[{_LETTER}])(?=[{_MARK}])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]").findall
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.uint32 if size > 1 << 16 else np.uint16
         self.bytes = np.zeros(size, np.int64)  # of each id: a byte-level token has a character for each byte
@@ -106,55 +143,69 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number = _Numbers()
+        self.number: defaultdict[bytes, int] = defaultdict(count().__next__)  # of each piece, as they are first asked for
         self.size, self.at, self.flat = _Growing(np.int64), _Growing(np.int64), _Growing(self.dtype)
 
+    def _has_special(self, raw: np.ndarray) -> bool:
+        flat = raw.tobytes()
+        return any(s in flat for s in self.special)
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def _learn(self) -> None:
+    def _learn(self, new: pa.BinaryArray) -> None:
         """Encodes the new pieces. Those that begin with a space stay apart in a row of them, so many go as one text, and
         the tokens' bytes tell whose they are."""
-        new, self.number.new = self.number.new, []
-        size = np.zeros(len(new), np.int64)
-        at = np.zeros(len(new), np.int64)
-        led = np.fromiter((x[0] == " " and len(x) > 1 and not x[1].isspace() for x in new), bool, len(new))
+        size, at = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        _, _, raw, bounds = next(slices(new, 1 << 62))
+        led = (raw[bounds[:-1]] == 0x20) & (np.diff(bounds) > 1)
+        led[led] = ~_spaces(raw)[bounds[:-1][led] + 1]
         k = np.flatnonzero(led)
+        if len(k):
+            _, _, raw, bounds = next(slices(new.take(pa.array(k)), 1 << 62))
         for first in range(0, len(k), 2000):
-            own = k[first : first + 2000]
-            pieces = [new[i] for i in own]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.cumsum(np.fromiter((len(x) if x.isascii() else len(x.encode()) for x in pieces), np.int64, len(pieces)))
-            last = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
+            own, ends = k[first : first + 2000], bounds[first : first + 2001]
+            text = raw[ends[0] : ends[-1]].tobytes().decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            last = np.searchsorted(np.cumsum(self.bytes[ids]), ends[1:] - ends[0]) + 1
             size[own] = np.diff(last, prepend=0)
             at[own] = self.flat.n + last - size[own]
             self.flat.add(ids)
         k = np.flatnonzero(~led)
-        for i, found in zip(k, self.tokenizer.encode_batch_fast([new[i] for i in k], add_special_tokens=False)):
+        for i, found in zip(k, self.tokenizer.encode_batch_fast([x.decode() for x in new.take(pa.array(k)).to_pylist()], add_special_tokens=False)):
             ids = np.array(found.ids, self.dtype)
             size[i], at[i] = len(ids), self.flat.n
             self.flat.add(ids)
         self.size.add(size)
         self.at.add(at)
 
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the texts with the end id after each, and how many each has."""
-        if not self.by_piece or any(s in t for s in self.special for t in texts):
+    def encode(self, texts: pa.Array | list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts with the end id after each, and how many each has; a null is empty."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        _, _, raw, bounds = next(slices(texts, 1 << 62))
+        if not self.by_piece or self._has_special(raw):
             if len(texts) > 1 and self.by_piece:
-                parts = [self.encode([t], end) for t in texts]
+                parts = [self.encode(texts.slice(i, 1), end) for i in range(len(texts))]
                 return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
-            own = [np.append(self.whole(t), self.dtype(end)) for t in texts]
-            return np.concatenate(own or [np.zeros(0, self.dtype)]), np.array([len(x) for x in own], np.int64)
+            own = [np.append(self.whole(t or ""), self.dtype(end)) for t in texts.to_pylist()]
+            return np.concatenate(own), np.array([len(x) for x in own], np.int64)
         if len(self.number) > CACHE_PIECES:
             self.clear()
-        cut = [self.cut(t) for t in texts]
-        pieces = np.fromiter(map(len, cut), np.int64, len(cut))
-        k = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(pieces.sum()))
-        if self.number.new:
-            self._learn()
+        begin = cuts(raw, bounds)
+        pieces = np.diff(np.searchsorted(begin, bounds))
+        offsets = pa.py_buffer(np.append(begin, len(raw)).astype(np.int32))
+        different = pa.Array.from_buffers(pa.binary(), len(begin), [None, offsets, pa.py_buffer(raw)]).dictionary_encode()
+        known, listed = len(self.number), different.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.number.__getitem__, listed), np.int64, len(listed))
+        if len(self.number) > known:
+            self._learn(different.dictionary.take(pa.array(np.flatnonzero(number >= known))))
+        k = number[different.indices.to_numpy()]
         # one more "piece" closes each text
         stop = np.cumsum(pieces + 1) - 1
-        held = np.ones(len(k) + len(cut), bool)
+        held = np.ones(len(k) + len(pieces), bool)
         held[stop] = False
         size, at = np.ones(len(held), np.int64), np.zeros(len(held), np.int64)
         size[held], at[held] = self.size.held[k], self.at.held[k]
@@ -214,8 +265,8 @@ def _write(folder: str, tokenizer: str, sequence: int, batch: int, end: int):
         name, out = f"{root}/{uuid.uuid4().hex}", None
         low = None
         for rows in batches:
-            for part in by_bytes(rows, "text"):
-                ids, counts = encode.encode([x or "" for x in part.column("text").to_pylist()], end)
+            for part in by_bytes(rows, "text", rows=4096):
+                ids, counts = encode.encode(part.column("text"), end)
                 if out is None:
                     store.create_dir(root, recursive=True)
                     stream = store.open_output_stream(f"{name}.part")

@@ -189,6 +189,29 @@ def test_tokens_round_trip(spark, docs, empty):
     assert token_output.read_index(spark, folder, token_output.write_tokens(empty, folder, path)).count() == 0
 
 
+def test_pieces_are_cut_in_whole_slices(monkeypatch):
+    """Python asks for each different piece of a slice of texts once, however often it occurs, and nulls and special strings stay exact."""
+    encoder = token_output.Encoder(token_output.default_tokenizer())
+    asked = []
+
+    class Asked(type(encoder.number)):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+    numbers = Asked()
+    numbers.default_factory = getattr(encoder.number, "default_factory", None)
+    monkeypatch.setattr(encoder, "number", numbers)
+    texts = ["one two, two\u2003one " * 50, "", " two\n\n", "caf\xe9, \u3042\u3000\u3042"] * 3
+    ids, n = encoder.encode(texts, 7)
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [7] for t in texts]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == [x for w in want for x in w]
+    assert len(asked) == len(set(asked)) > 5
+    special = pa.array(["a b", "x<|endoftext|>y", None])
+    ids, n = encoder.encode(special, 0)
+    assert ids.tolist() == [x for t in special.to_pylist() for x in encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [0]] and n[2] == 1
+
+
 def test_contamination(spark, docs, empty):
     item = "He said Tom Baker has 12 apples and 5 pears and gave 12 apples to the boy in town"
     rows = [(1, item, "a"), (2, item.replace("Tom Baker", "Ann Cole").replace("12", "31").replace("5", "8"), "a"), (3, item.replace("gave 12", "gave 13"), "a"), (4, "before it. " + item.lower().replace("tom baker", "Tom Baker") + " after", "a"), (None, item, "a"), (6, None, "a"), (7, "", "a"), (8, "He said that Tom Baker has no apples at all", "a")]
