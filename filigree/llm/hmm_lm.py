@@ -11,7 +11,7 @@ so the probability of a text is exact, and the state tables are bounded however
 
 Training. From a start of fixed noise, ITERATIONS rounds of Baum-Welch go over every training text, in single precision (a batch that
 needs more is done again in double; likelihoods always are). The texts are written as
-symbols once, and each round reads those: each task adds up its expected counts, one shuffle sums them over the partitions
+symbols once, laid out side by side as the recursions take them, and each round reads those: each task adds up its expected counts, one shuffle sums them over the partitions
 by symbol, and the driver gets SYMBOLS + CLASSES rows.
 
 Scoring. The counts of the most frequent tokens, LOOKUP at most, go to the tasks with the model; any other token's count comes by a
@@ -25,8 +25,9 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -72,23 +73,43 @@ def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = []
-        for _, _, h, g, _ in tokens(batch.column("text")):
-            u, at, n = np.unique(h, return_index=True, return_counts=True)
-            found.append((u, g[at], n))
+        found = [_sums(h, g) for _, _, h, g, _ in tokens(batch.column("text"))]
         if not found:
             continue
-        h, g, n = (np.concatenate(x) for x in zip(*found))
-        u, at, back = np.unique(h, return_index=True, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([signed(u), pa.array(g[at].astype(np.int32)), pa.array(np.bincount(back, n).astype(np.int64))], ["h", "g", "n"])
-
-
-def find(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of x in ascending values, and whether it is there."""
-    if not len(sorted_values):
-        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
-    return at, sorted_values[at] == x
+        u, g, n = _sums(*(np.concatenate(x) for x in zip(*found)))
+        yield pa.RecordBatch.from_arrays([signed(u), pa.array(g.astype(np.int32)), pa.array(n.astype(np.int64))], ["h", "g", "n"])
+
+
+def _sums(h: np.ndarray, g: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes, their classes, and how often they are there (or their sums of n)."""
+    different = pa.array(h).dictionary_encode()
+    at, u = different.indices.to_numpy(), different.dictionary.to_numpy()
+    kind = np.empty(len(u), g.dtype)
+    kind[at] = g
+    return u, kind, np.bincount(at, n, len(u))
+
+
+class Places:
+    """Looks up ascending hashes by their leading bits, which are as good as random."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        bits = max(1, int(2 * len(values)).bit_length())
+        self.size, self.shift = len(values), U(64 - bits)
+        self.first = np.searchsorted(values >> self.shift, np.arange(1 << bits, dtype=U))
+        self.values = np.append(values, U(2**64 - 1))
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of x, the number of values at most, and whether it is there."""
+        at = self.first[x >> self.shift]
+        value = self.values[at]
+        there = value == x
+        k = np.flatnonzero(value < x)
+        while len(k):
+            at[k] += 1
+            value = self.values[at[k]]
+            there[k] = value == x[k]
+            k = k[value < x[k]]
+        return at, there & (at < self.size)
 
 
 @dataclass
@@ -100,8 +121,12 @@ class Model:
     move: np.ndarray
     emit: np.ndarray
 
+    @cached_property
+    def places(self) -> Places:
+        return Places(self.own)
+
     def symbols(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
-        at, there = find(self.own, h)
+        at, there = self.places.find(h)
         return np.where(there, at, len(self.own) + g)
 
 
@@ -169,29 +194,36 @@ def log10_likelihoods(model: Model, symbols: np.ndarray, first: np.ndarray) -> n
 
 def expected_counts(model: Model, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of starts [state], moves [state, state] and emissions [symbol, state], by forward-backward."""
+    return _expected(model, ((b.symbol, b.width) for _, b in _batches(symbols, first)))
+
+
+def _expected(model: Model, batches: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of the symbols and widths of batches."""
     k = len(model.start)
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(model.emit)))
     relative = _relative(model)[0]
     room: dict[type, np.ndarray] = {}  # one set of arrays for all batches
-    for _, b in _batches(symbols, first):
+    table: dict[type, np.ndarray] = {}
+    for symbol, width in batches:
         # half the memory traffic; in full precision again what single precision cannot hold
         for kind in (np.float32, np.float64):
-            if kind not in room or room[kind].shape[1] < len(b.symbol):
-                room[kind] = np.empty((4, len(b.symbol), k), kind)
-            found = _forward_backward(model, relative.astype(kind, copy=False), b, room[kind][:, : len(b.symbol)])
+            if kind not in room or room[kind].shape[1] < len(symbol):
+                room[kind] = np.empty((4, len(symbol), k), kind)
+                table[kind] = relative.astype(kind)
+            found = _forward_backward(model, table[kind], symbol, width, room[kind][:, : len(symbol)])
             if found is not None:
                 break
         else:
             raise FloatingPointError("forward and backward variables without any common state")
         moves, part = found
         move += moves
-        start += part[:, : b.width[0]].sum(axis=1, dtype=float)
+        start += part[:, : width[0]].sum(axis=1, dtype=float)
         for state in range(k):
-            emit[state] += np.bincount(b.symbol, part[state], emit.shape[1])
+            emit[state] += np.bincount(symbol, part[state], emit.shape[1])
     return start, move * model.move, np.ascontiguousarray(emit.T)
 
 
-def _forward_backward(model: Model, relative: np.ndarray, b: _Batch, room: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+def _forward_backward(model: Model, relative: np.ndarray, symbol: np.ndarray, widths: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     """Sums over pairs of neighbours [state, state], without the transition itself, and shares [state, place]; None where numbers ran out.
 
     Forward and backward variables may have any scale at a place, as long as it is one for all states: what they are
@@ -200,9 +232,12 @@ def _forward_backward(model: Model, relative: np.ndarray, b: _Batch, room: np.nd
     one, step = np.ones(k, kind), model.move.astype(kind)
     back, begin, every = np.ascontiguousarray(step.T), model.start.astype(kind), RESCALE // (8 // kind.itemsize)
     seen, alpha, ahead, beta = room
-    relative.take(b.symbol, axis=0, out=seen, mode="clip")
-    ahead[:], beta[:] = 0, 1
-    at, width = b.at.tolist(), b.width.tolist()
+    relative.take(symbol, axis=0, out=seen, mode="clip")
+    begins = np.concatenate([[0], np.cumsum(widths)])
+    done = -np.diff(widths, append=0)  # so many sequences end at each time
+    ends = np.repeat(begins[1:] - np.cumsum(done), done) + np.arange(widths[0])
+    ahead[ends], beta[ends] = 0, 1
+    at, width = begins.tolist(), widths.tolist()
     with np.errstate(all="ignore"):
         for t, n in enumerate(width):
             here = alpha[at[t] : at[t] + n]
@@ -235,25 +270,34 @@ def _estimate(model: Model, counts: tuple[np.ndarray, np.ndarray, np.ndarray], o
 
 
 def _encode(model: Model):
-    """Each text as its symbols, four bytes each."""
+    """The texts as batches: a row has the symbols of one, in the order of _Batch, and its widths."""
+    kind = np.dtype("<u2" if len(model.emit) <= 1 << 16 else "<i4")
+
+    def rows(held: list) -> pa.RecordBatch:
+        symbols = np.concatenate([x for x, _ in held])
+        first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in held]))])
+        found = [(b.symbol.astype(kind).tobytes(), b.width.astype("<i4").tobytes()) for _, b in _batches(symbols, first)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], ["symbols", "width"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
         for batch in batches:
             for _, _, h, g, first in tokens(batch.column("text")):
-                flat = pa.py_buffer(model.symbols(h, g).astype("<i4").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((4 * first).astype("<i4").tobytes()), flat])], ["symbols"])
+                held.append((model.symbols(h, g).astype(kind), first))
+                if sum(len(x) for x, _ in held) > 8 * HELD:
+                    yield rows(held)
+                    held.clear()
+        if held:
+            yield rows(held)
 
     return of
 
 
-def _decode(column: pa.Array, rows: int = 1000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(symbols, first) of some rows at a time."""
-    wide = pa.types.is_large_binary(column.type)
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
-    for i in range(0, len(column), rows):
-        part = at[i : i + rows + 1]
-        yield np.frombuffer(data, "<i4", int(part[-1] - part[0]) // 4, int(part[0])), (part - part[0]) // 4
+def _decode(batch: pa.RecordBatch, symbols: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The symbols and widths of each batch that is a row here."""
+    kind = np.dtype("<u2" if symbols <= 1 << 16 else "<i4")
+    for flat, width in zip(batch.column("symbols"), batch.column("width")):
+        yield np.frombuffer(flat.as_buffer(), kind).astype(np.int64), np.frombuffer(width.as_buffer(), "<i4").astype(np.int64)
 
 
 def _expect(model: Model):
@@ -262,22 +306,10 @@ def _expect(model: Model):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            held: list = []
-
-            def flush() -> None:
-                nonlocal total
-                symbols = np.concatenate([x for x, _ in held])
-                first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in held]))])
-                found = expected_counts(model, symbols, first)
-                total = found if total is None else tuple(x + y for x, y in zip(total, found))
-                held.clear()
-
-            for symbols, first in _decode(batch.column("symbols")):
-                held.append((symbols, first))
-                if sum(len(x) for x, _ in held) > 8 * HELD:
-                    flush()
-            if held:
-                flush()
+            if not batch.num_rows:
+                continue
+            found = _expected(model, _decode(batch, len(model.emit)))
+            total = found if total is None else tuple(x + y for x, y in zip(total, found))
         if total is not None:
             start, move, emit = total
             used = np.flatnonzero(emit.any(axis=1))
@@ -302,6 +334,9 @@ def _score(model: Model, known: np.ndarray, counts: np.ndarray, share: np.ndarra
     """known: hashes of the most frequent tokens, ascending, with their counts; share: log10 of each class's denominator."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # with a place for those that are not there
+        places, logs, symbol = Places(known), np.append(np.log10(counts + 0.5), 0.0), np.full(len(known) + 1, -1)
+        symbol[np.searchsorted(known, model.own)] = np.arange(len(model.own))  # these are among the known
         for batch in chain.from_iterable(by_bytes(b, "text", PART_BYTES, PART_ROWS) for b in batches):
             size = batch.num_rows
             held, symbols, n_tokens = [], [], np.zeros(size, np.int64)
@@ -309,11 +344,12 @@ def _score(model: Model, known: np.ndarray, counts: np.ndarray, share: np.ndarra
             for i, j, h, g, first in tokens(batch.column("text")):
                 n = np.diff(first)
                 owner = np.repeat(np.arange(j - i), n)
-                s = model.symbols(h, g)
+                at, there = places.find(h)
+                at[~there] = len(known)
+                own, s = logs[at], symbol[at]
+                kind = s < 0
+                s = np.where(kind, len(model.own) + g, s)
                 symbols.append((s.astype(np.int32), n))
-                at, there = find(known, h)
-                own = np.where(there, np.log10(counts[at] + 0.5), 0.0) if len(known) else np.zeros(len(h))
-                kind = s >= len(model.own)
                 n_tokens[i:j] = n
                 n_known[i:j] = np.bincount(owner, there, j - i)
                 base_score[i:j] = np.bincount(owner, own, j - i) - n * base
@@ -368,7 +404,7 @@ def train(texts: DataFrame, states: int = STATES, iterations: int = ITERATIONS)
     emit = overall[:, None] * np.exp(noise)
     model = Model(own, np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(axis=0))
     if top and iterations:
-        encoded = materialise(texts.mapInArrow(_encode(model), "symbols binary"), "symbols")
+        encoded = materialise(texts.mapInArrow(_encode(model), "symbols binary, width binary"), "symbols")
         for _ in range(iterations):
             model = _round(model, encoded, overall)
     by = np.argsort(h)

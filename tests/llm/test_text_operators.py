@@ -406,6 +406,34 @@ def test_language_model_probabilities_add_up(spark, docs):
             assert np.isclose(sum(c + 0.5 for c in inside) + 0.5, total)
 
 
+def test_rounds_read_batches_that_are_laid_out_once(monkeypatch):
+    """What each round of Baum-Welch reads needs no sorting any more, and gives what forward-backward over the texts gives, whatever their lengths."""
+    rng = random.Random(8)
+    texts = pa.array([" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 2, 9, 40, 3000]))) for _ in range(60)] + [None])
+    (_, _, h, g, first), *more = hmm_lm.tokens(texts)
+    noise = np.random.default_rng(2)
+    own = np.unique(h)[:5]
+    model = hmm_lm.Model(own, noise.dirichlet(np.ones(3)), noise.dirichlet(np.ones(3), 3), noise.dirichlet(np.ones(5 + hmm_lm.CLASSES), 3).T.copy())
+    want = hmm_lm.expected_counts(model, model.symbols(h, g), first)
+    rows = list(hmm_lm._encode(model)(iter([pa.RecordBatch.from_arrays([texts], ["text"])])))
+    monkeypatch.setattr(hmm_lm, "_Batch", None)
+    (got,) = hmm_lm._expect(model)(iter(rows))
+    place = got.column("symbol").to_numpy()
+    sums = np.stack([got.column(f"s{k}").to_numpy() for k in range(3)], axis=1)
+    all_emit = np.zeros_like(want[2])
+    all_emit[place[place >= 0]] = sums[place >= 0]
+    assert not more and np.allclose(sums[0], want[0]) and np.allclose(sums[1:4], want[1]) and np.allclose(all_emit, want[2])
+
+
+def test_hashes_are_found_by_their_leading_bits():
+    rng = np.random.default_rng(3)
+    ends = np.array([0, 1, 2**63, 2**64 - 2, 2**64 - 1], np.uint64)
+    for values in (np.zeros(0, np.uint64), ends[:-1], ends, np.arange(300, dtype=np.uint64), np.unique(np.append(rng.integers(0, 2**64, 5000, np.uint64), ends))):
+        asked = np.concatenate([values, ends, np.arange(400, dtype=np.uint64), rng.integers(0, 2**64, 5000, np.uint64)])
+        at, there = hmm_lm.Places(values).find(asked)
+        assert np.array_equal(there, np.isin(asked, values)) and np.array_equal(values[at[there]], asked[there])
+
+
 def test_language_model_learns_from_all_texts_in_every_round(spark):
     """From the noise start, each round is one of Baum-Welch over all texts, more of them than any sample would hold."""
     rng = random.Random(6)
