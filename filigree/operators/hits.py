@@ -6,11 +6,13 @@ being the chunk_uid."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
 from . import questions as Q
 from . import retrieval as R
 
@@ -56,18 +58,29 @@ def allowed(codes: str = "codes", years: str = "years") -> Column:
     return company & ((F.size(filed) == 0) | F.array_contains(filed, F.col("report_year")))
 
 
+def searches(chunks: DataFrame, questions: DataFrame, modes: Sequence[str], top_dense: int = 20, top_sparse: int = 20, vectors: DataFrame | None = None, asked: DataFrame | None = None) -> dict[str, DataFrame]:
+    """hits of each mode: dense (vectors (id, v) by asked (qid, v)), sparse (BM25), hybrid (both, fused by rank). Only what the modes need is
+    done, and once for all of them. chunks (id, text) and vectors are filtered before."""
+    for mode in modes:
+        if mode not in MODES:
+            raise ValueError(f"no such mode: {mode}; there are {', '.join(MODES)}")
+        if mode != "sparse" and (vectors is None or asked is None):
+            raise ValueError(f"mode {mode} needs vectors")
+    out = {}
+    if set(modes) != {"sparse"}:
+        out["dense"] = R.dense(vectors, asked, top_dense)
+        if {"dense", "hybrid"} <= set(modes):
+            out["dense"] = materialise(out["dense"], "hits")
+    if set(modes) != {"dense"}:
+        out["sparse"] = R.bm25(chunks, questions, top_sparse or top_dense)
+    if "hybrid" in modes:
+        out["hybrid"] = R.fuse(out["dense"], out["sparse"], max(top_dense, top_sparse))
+    return {mode: out[mode] for mode in modes}
+
+
 def search(chunks: DataFrame, questions: DataFrame, mode: str, top_dense: int = 20, top_sparse: int = 20, vectors: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
-    """hits of one mode: dense (vectors (id, v) by asked (qid, v)), sparse (BM25), hybrid (both, fused by rank). Only what the mode needs is
-    planned. chunks (id, text) and vectors are filtered before."""
-    if mode not in MODES:
-        raise ValueError(f"no such mode: {mode}; there are {', '.join(MODES)}")
-    if mode != "sparse" and (vectors is None or asked is None):
-        raise ValueError(f"mode {mode} needs vectors")
-    dense = R.dense(vectors, asked, top_dense) if mode != "sparse" else None
-    sparse = R.bm25(chunks, questions, top_sparse or top_dense) if mode != "dense" else None
-    if mode == "hybrid":
-        return R.fuse(dense, sparse, max(top_dense, top_sparse))
-    return dense if mode == "dense" else sparse
+    """hits of one mode."""
+    return searches(chunks, questions, [mode], top_dense, top_sparse, vectors, asked)[mode]
 
 
 def project(hits: DataFrame, chunks: DataFrame) -> DataFrame:

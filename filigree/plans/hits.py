@@ -89,9 +89,9 @@ def filters_per_question(spark, d):
 )
 def mode_switch(spark, d):
     """The three modes of a search over the same chunks and questions."""
-    out = None
-    for mode, digits in (("dense", 5), ("sparse", 4), ("hybrid", 6)):
-        one = H.search(plain(spark, d), questions(spark, d), mode, 20, 20, vectors(spark, d), item_vectors(spark, d)).select(F.lit(mode).alias("mode"), "qid", "id", F.round("score", digits).alias("score"), "rank")
+    digits, out = {"dense": 5, "sparse": 4, "hybrid": 6}, None
+    for mode, found in H.searches(plain(spark, d), questions(spark, d), list(digits), 20, 20, vectors(spark, d), item_vectors(spark, d)).items():
+        one = found.select(F.lit(mode).alias("mode"), "qid", "id", F.round("score", digits[mode]).alias("score"), "rank")
         out = one if out is None else out.unionByName(one)
     return out
 
