@@ -121,6 +121,9 @@ def expand(hits: DataFrame, chunks: DataFrame, budget: int, enabled: bool = True
     if not enabled:
         return hits.withColumn("seq", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).withColumn("expanded", F.lit(False)).withColumn("page_end", F.col("page_start")).withColumn("degraded", F.array().cast("array<string>"))
     parent = chunks.where("level = 0").select(F.col("chunk_uid").alias("p_uid"), F.col("content").alias("p_content"), F.col("unit").alias("p_unit"), F.col("chunk_type").alias("p_type"), F.col("heading_path").alias("p_heading"), F.col("page_start").alias("p_start"), F.col("page_end").alias("p_end"))
+    hits = materialise(hits, "hits")  # read three times
+    wanted = hits.select(F.col("parent_uid").alias("p_uid")).where("p_uid is not null").distinct()
+    parent = parent.join(wanted, "p_uid", "left_semi")  # before the texts of other parents are gathered or shuffled
     joined = hits.join(parent, hits["parent_uid"] == parent["p_uid"], "left")
     filled = lambda p, c: F.coalesce(F.when(F.col(p).cast("string") != "", F.col(p)), F.col(c))
     there = F.col("p_uid").isNotNull()

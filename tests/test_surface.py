@@ -216,3 +216,16 @@ def test_shared_folder(spark, tmp_path):
     assert made.count() == 5 and os.path.isdir(path)
     shared.discard(made)
     assert not os.path.exists(path)
+
+
+def test_only_parents_of_hits_are_gathered(spark):
+    """Parents that are made by grouping children were all made, with their texts."""
+    rows = [(f"c{k}", "revenue" if k < 6 else "other", "d", "a", 2025, None, "text", None, None, "", 1, 1, f"p{k // 3}", "heading", 1) for k in range(600)]
+    children = spark.createDataFrame(rows, CHUNK)
+    made = children.groupBy("parent_uid").agg(F.min("content").alias("content"), *(F.first(c).alias(c) for c in ("doc_key", "company_code", "report_year", "period", "chunk_type", "statement_type", "unit", "heading_path", "page_start", "page_end", "strategy")))
+    parents = made.withColumnRenamed("parent_uid", "chunk_uid").withColumn("parent_uid", F.lit(None).cast("string")).withColumn("level", F.lit(0))
+    asked = spark.createDataFrame([(1, "revenue")], "qid long, text string")
+    out = hits.retrieve(asked, children.unionByName(parents), "heading", hits.Filters(["a"]), "sparse", 5)
+    assert [(r.chunk_uid, r.expanded) for r in out.orderBy("seq").collect()] == [("p0", True), ("p1", True)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[plan.index("Aggregate [parent_uid") :]
