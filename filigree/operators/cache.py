@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import questions as Q
+from .nearest import nearest
 
 NAMESPACE_BYTES, ENTITY_CHARS = 32, 256
 #: What an answer is stored as.
@@ -43,13 +44,12 @@ def get_exact(asked: DataFrame, cache: DataFrame, now: Column, seconds: int = Q.
 
 def get_semantic(asked: DataFrame, cache: DataFrame, threshold: float = Q.SEMANTIC) -> DataFrame:
     """asked (id, exp_id, entity_key, v): the answer to the nearest question of the same namespace and entities, if it is as near as threshold, with
-    cache_similarity. Constraints join before anything is compared. The semantic store has no time to live."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    own = asked.select("id", "exp_id", F.substring("entity_key", 1, ENTITY_CHARS).alias("entity_key"), "v")
-    pairs = own.join(cache.select("exp_id", "entity_key", "cache_key", "answer_json", F.col("v").alias("w")), ["exp_id", "entity_key"])
-    near = F.round(dot(F.col("v"), F.col("w")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("w"), F.col("w"))), 4)
-    first = Window.partitionBy("id").orderBy(F.desc("cache_similarity"), "cache_key")
-    best = pairs.select("id", "cache_key", "answer_json", near.alias("cache_similarity")).withColumn("n", F.row_number().over(first)).where(F.col("n") == 1)
+    cache_similarity. Only entries under the same constraints are compared, in tiles where they are read; a task passes on one row a question. The semantic store has no time to live."""
+    own = lambda entity: F.when(F.col("exp_id").isNotNull() & entity.isNotNull(), F.to_json(F.struct("exp_id", entity.alias("e")))).alias("key")
+    questions = asked.select(F.col("id").alias("qid"), own(F.substring("entity_key", 1, ENTITY_CHARS)), "v")
+    near = nearest(cache.select(F.col("cache_key").alias("id"), own(F.col("entity_key")), "v", "answer_json"), questions, 1, 4, key=True)
+    first = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    best = near.withColumn("n", F.row_number().over(first)).where(F.col("n") == 1).select(F.col("qid").alias("id"), "answer_json", F.col("score").alias("cache_similarity"))
     good = best.where(F.col("cache_similarity") >= threshold)
     return good.select("id", F.from_json("answer_json", PAYLOAD).alias("a"), "cache_similarity").select("id", "a.*", "cache_similarity")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
+from .nearest import nearest
 
 # Words of questions and names.
 FILLERS = "是多少 多少 是什么 请问 的具体数值 吗 呢 ？ ? ， ,".split()
@@ -161,13 +162,11 @@ def may_cache(answer: Column, cached: Column, refused: Column, degraded: Column)
 
 
 def semantic_hits(asked: DataFrame, cache: DataFrame, threshold: float = SEMANTIC) -> DataFrame:
-    """asked (id, key, v) and cache (entry, key, v): the nearest entry of the same key, if it is as near as the threshold. The key
-    joins first, so only entries of the same constraints are ever compared."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    pairs = asked.join(cache.select("entry", "key", F.col("v").alias("w")), "key").where("id <> entry")
-    score = F.round(dot(F.col("v"), F.col("w")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("w"), F.col("w"))), 9)
-    best = pairs.select("id", "entry", score.alias("score")).groupBy("id").agg(F.max(F.struct("score", (-F.col("entry")).alias("e"))).alias("b"))
-    return best.select("id", (-F.col("b.e")).alias("entry"), F.col("b.score").alias("score")).where(F.col("score") >= threshold)
+    """asked (id, key, v) and cache (entry, key, v): the nearest entry of the same key, if it is as near as the threshold. Only entries of
+    the same constraints are ever compared, in tiles where they are read; a task passes on one row a question."""
+    near = nearest(cache.select(F.col("entry").alias("id"), "key", "v"), asked.select(F.col("id").alias("qid"), "key", "v"), 1, 9, key=True, apart=True)
+    best = near.groupBy("qid").agg(F.max(F.struct("score", (-F.col("id")).alias("e"))).alias("b"))
+    return best.select(F.col("qid").alias("id"), (-F.col("b.e")).alias("entry"), F.col("b.score").alias("score")).where(F.col("score") >= threshold)
 
 
 def verify_citations(answer: Column, n: Column) -> Column:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from filigree.operators import nearest as N
-from filigree.operators import retrieval
+from filigree.operators import cache, questions, retrieval
 
 
 def ranked(ids, x, queries, k):
@@ -55,3 +55,28 @@ def test_questions_go_in_blocks(spark, monkeypatch, total):
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
     got = retrieval.dense(vectors, vectors.where(f"id < {total}").selectExpr("id as qid", "v"), 3).orderBy("qid", "rank").collect()
     assert [g.id for g in got] == [i for row in ranked(np.arange(100), x, x[:total], 3) for i in row]
+
+
+def test_semantic_lookups_compare_in_tiles_under_their_keys(spark):
+    """All pairs of a key were rows of a join, each multiplied number by number; a key's rows met in one task."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, 3))
+    keys = [None if i % 11 == 0 else "ab"[i % 2] for i in range(400)]
+    rows = [(i, keys[i], (x[i] if i % 7 else x[i % 2]).tolist()) for i in range(400)]  # with ties
+    v = spark.createDataFrame(rows, "id long, key string, v array<float>").repartition(3)
+    v_of = {i: np.asarray(w, np.float32).astype(float) for i, _, w in rows}
+    cos = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b)))
+    want = {}
+    for i in range(0, 400, 10):
+        near = [(-round(cos(v_of[i], v_of[j]), 9), j) for j in range(400) if j != i and keys[j] is not None and keys[j] == keys[i]]
+        if near and -min(near)[0] >= 0.5:
+            want[i] = (min(near)[1], -min(near)[0])
+    out = questions.semantic_hits(v.where("id % 10 = 0"), v.withColumnRenamed("id", "entry"), 0.5)
+    assert {g.id: (g.entry, g.score) for g in out.collect()} == want
+    stored = v.selectExpr("'ns' as exp_id", "key as entity_key", "lpad(id, 3, '0') as cache_key", "concat('{\"answer\":\"', id, '\"}') as answer_json", "v").where("id % 10 <> 0")
+    found = cache.get_semantic(v.where("id % 10 = 0").selectExpr("id", "'ns' as exp_id", "key as entity_key", "v"), stored, 0.5)
+    assert all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (out, found))
+    got = {g.id: (g.answer, g.cache_similarity) for g in found.collect()}
+    for i in range(0, 400, 10):
+        near = [(-round(cos(v_of[i], v_of[j]), 4), j) for j in range(400) if j % 10 and keys[j] is not None and keys[j] == keys[i]]
+        assert got.get(i) == ((str(min(near)[1]), -min(near)[0]) if near else None)
